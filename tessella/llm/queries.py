@@ -6,12 +6,20 @@ from collections.abc import Callable
 from importlib import resources
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessella.llm.common import table
+from tessella.llm.decontamination import decontaminate
 from tessella.llm.mixing import mix_sources
 from tessella.llm.urls import filter_urls
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    ids = F.sha2(F.array_join("items", ","), 256)
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), ids.alias("items_sha256"), "contaminated")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
@@ -21,6 +29,7 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
     "op7_url_filter": op7_url_filter,
     "op8_source_mix": op8_source_mix,
 }
