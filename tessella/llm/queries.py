@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessella.llm.common import table
 from tessella.llm.decontamination import decontaminate
 from tessella.llm.mixing import mix_sources
+from tessella.llm.secrets import KINDS, scan_secrets, span_text
 from tessella.llm.urls import filter_urls
 
 
@@ -20,6 +21,13 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), ids.alias("items_sha256"), "contaminated")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scan_secrets(table(spark, sf_dir, "documents"))
+    of = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    base = F.filter("spans", lambda s: s["order"] < len(KINDS))
+    return out.select("doc_id", *[of(k).alias(f"n_{k}") for k in KINDS], F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
@@ -30,6 +38,7 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_secret_scan": op2_secret_scan,
     "op7_url_filter": op7_url_filter,
     "op8_source_mix": op8_source_mix,
 }
