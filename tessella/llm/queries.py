@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessella.llm.common import table
 from tessella.llm.decontamination import decontaminate
 from tessella.llm.mixing import mix_sources
+from tessella.llm.near_duplicates import near_duplicates
 from tessella.llm.secrets import KINDS, scan_secrets, span_text
 from tessella.llm.urls import filter_urls
 
@@ -36,11 +37,16 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_secret_scan": op2_secret_scan,
     "op7_url_filter": op7_url_filter,
     "op8_source_mix": op8_source_mix,
+    "op9_near_duplicates": op9_near_duplicates,
 }
 
 
