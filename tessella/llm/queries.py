@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import table
 from tessella.llm.decontamination import decontaminate
+from tessella.llm.language import identify, train_dictionaries
 from tessella.llm.mixing import mix_sources
 from tessella.llm.near_duplicates import near_duplicates
 from tessella.llm.secrets import KINDS, scan_secrets, span_text
@@ -41,12 +42,25 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
 
+def fold(n: int):
+    """crc32 of doc_id as text, modulo ``n``; a null id has none."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    dictionaries = train_dictionaries(docs.where(fold(3) != 1))
+    held = F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out")
+    return identify(docs.select("doc_id", held, "text"), dictionaries).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_secret_scan": op2_secret_scan,
     "op7_url_filter": op7_url_filter,
     "op8_source_mix": op8_source_mix,
     "op9_near_duplicates": op9_near_duplicates,
+    "op10_language_id": op10_language_id,
 }
 
 
