@@ -90,3 +90,16 @@ def connected_components(edges: DataFrame, tag: str = "cc", rounds: int = 60) ->
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     out = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return out.unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
+def sample_labels(labels: DataFrame, column: str, per_class: int) -> tuple[DataFrame, dict[int, float]]:
+    """A bounded sample of ``labels`` (doc_id, column 0 or 1) and the weight that each class's rows then stand for.
+
+    About ``per_class`` ids of each class are drawn by a hash of the id, so reruns agree. Null ids and labels are left out.
+    """
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1)).select("doc_id", F.col(column).cast("int").alias("label")).distinct()
+    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
+    rate = lambda k: min(1.0, per_class / max(1, counts.get(k, 0)))
+    sample = known.where(place < F.when(F.col("label") == 1, rate(1)).otherwise(rate(0)))
+    return sample, {k: 1 / rate(k) for k in (0, 1)}
