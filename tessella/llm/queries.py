@@ -14,7 +14,7 @@ from tessella.llm.language import identify, train_dictionaries
 from tessella.llm.mixing import mix_sources
 from tessella.llm.near_duplicates import near_duplicates
 from tessella.llm.secrets import KINDS, scan_secrets, span_text
-from tessella.llm import toxicity
+from tessella.llm import quality, toxicity
 from tessella.llm.urls import filter_urls
 
 
@@ -56,6 +56,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    field = quality.train(docs, table(spark, sf_dir, "labels").where(fold(5) != 0))
+    held = F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out")
+    out = quality.score(docs.select("doc_id", held, "text"), field)
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     dictionaries = train_dictionaries(docs.where(fold(3) != 1))
@@ -67,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_secret_scan": op2_secret_scan,
     "op5_toxicity": op5_toxicity,
+    "op6_quality": op6_quality,
     "op7_url_filter": op7_url_filter,
     "op8_source_mix": op8_source_mix,
     "op9_near_duplicates": op9_near_duplicates,
