@@ -96,8 +96,8 @@ def _sets(data: np.ndarray, cuts: np.ndarray, width: int) -> Iterator[np.ndarray
         if b - a >= width:
             yield np.unique(runs[a : b - width + 1])
         elif b > a:
-            short = b - a
-            for k in range(b - a):
+            short = int(b - a)
+            for k in range(int(b - a)):
                 short = (short + int(words[a + k]) * int(factors[k])) & _MASK
             yield mix(np.array([short], np.uint64))
         else:
