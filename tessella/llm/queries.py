@@ -14,7 +14,7 @@ from tessella.llm.language import identify, train_dictionaries
 from tessella.llm.mixing import mix_sources
 from tessella.llm.near_duplicates import near_duplicates
 from tessella.llm.secrets import KINDS, scan_secrets, span_text
-from tessella.llm import embeddings, quality, toxicity
+from tessella.llm import embeddings, html, quality, toxicity
 from tessella.llm.urls import filter_urls
 
 
@@ -48,6 +48,11 @@ def fold(n: int):
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -78,6 +83,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_secret_scan": op2_secret_scan,
+    "op3_html_extract": op3_html_extract,
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_quality": op6_quality,
