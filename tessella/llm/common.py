@@ -103,3 +103,12 @@ def sample_labels(labels: DataFrame, column: str, per_class: int) -> tuple[DataF
     rate = lambda k: min(1.0, per_class / max(1, counts.get(k, 0)))
     sample = known.where(place < F.when(F.col("label") == 1, rate(1)).otherwise(rate(0)))
     return sample, {k: 1 / rate(k) for k in (0, 1)}
+
+
+def without(docs: DataFrame, ids: DataFrame, limit: int = 500_000) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in ``ids`` (doc_id), all columns kept. Rows with a null id stay.
+
+    Up to ``limit`` ids (they are counted) are broadcast, more are joined by a shuffle.
+    """
+    gone = materialize(ids.where("doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct(), "ids")
+    return docs.join(broadcast_if(gone, limit), F.col("doc_id") == F.col("__gone"), "left_anti")
