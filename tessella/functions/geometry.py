@@ -26,7 +26,8 @@ def rectangle(x: Column, y: Column, width: Column, height: Column) -> Column:
 
 def close_ring(ring: Column) -> Column:
     """The ring with its first point at its end."""
-    return F.when(F.element_at(ring, 1) == F.element_at(ring, -1), ring).otherwise(F.concat(ring, F.slice(ring, 1, 1)))
+    last = F.get(ring, F.size(ring) - 1)
+    return F.when((F.size(ring) == 0) | (F.get(ring, F.lit(0)) == last), ring).otherwise(F.concat(ring, F.slice(ring, 1, 1)))
 
 
 def ring_area(ring: Column) -> Column:
