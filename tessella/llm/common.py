@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,3 +115,21 @@ def without(docs: DataFrame, ids: DataFrame, limit: int = 500_000) -> DataFrame:
     """
     gone = materialize(ids.where("doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct(), "ids")
     return docs.join(broadcast_if(gone, limit), F.col("doc_id") == F.col("__gone"), "left_anti")
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Rows of sorted batches by their first ``keys`` columns, a group at a time."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = pa.Table.from_batches([batch])
+        rest = now if rest is None else pa.concat_tables([rest, now])
+        cols = [rest.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+        new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
+        cuts = [0, *new.tolist()]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield rest.slice(a, b - a)
+        rest = rest.slice(cuts[-1])
+    if rest is not None and rest.num_rows:
+        yield rest
