@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import connected_components, discard, materialize
+from tessella.llm.common import connected_components, discard, materialize, sorted_groups
 
 THRESHOLD = 0.93
 TREES, LEAF, CHUNK, LIST = 8, 48, 256, 6
@@ -37,24 +37,6 @@ ROUNDS, CHANGED, RECALL, AUDIT, TRIES = 3, 0.002, 0.995, 256, 5
 FOUND = "src bigint, dst bigint, sim double, link boolean"
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """Rows of sorted batches by their first ``keys`` columns, a group at a time."""
-    rest: pa.Table | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        now = pa.Table.from_batches([batch])
-        rest = now if rest is None else pa.concat_tables([rest, now])
-        cols = [rest.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
-        new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
-        cuts = [0, *new.tolist()]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            yield rest.slice(a, b - a)
-        rest = rest.slice(cuts[-1])
-    if rest is not None and rest.num_rows:
-        yield rest
-
-
 def _matrix(column) -> np.ndarray:
     """Unit rows in double precision of a column of binary float32 vectors of one length."""
     raw = column.to_pylist()
@@ -107,7 +89,7 @@ def _compared(rows: DataFrame, keep: int, threshold: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, n = [], 0
-        for group in _groups(batches, 2):
+        for group in sorted_groups(batches, 2):
             if group.num_rows < 2:
                 continue
             ids, at = np.unique(group.column(2).to_numpy(), return_index=True)
@@ -219,7 +201,7 @@ def _counts(members: DataFrame, threshold: float, block: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, links = [], []
-        for group in _groups(batches, 3):
+        for group in sorted_groups(batches, 3):
             asks = group.column(3).to_numpy(zero_copy_only=False).astype(bool)
             if asks.all() or not asks.any():
                 continue
