@@ -5,7 +5,8 @@ bounded labelled sample the ``vocabulary`` terms that are most associated with t
 frequencies are counted over all documents. Examples with equal vectors are one entry of the index with their votes added.
 
 Each term has its postings in blocks of ``BLOCK`` entries and the greatest weight of every block. Blocks are visited in the
-order of their bounds until the bound is below the k-th best cosine, so that the k nearest are exact.
+order of their bounds, a few and then more at a time, until the bound is below the k-th best cosine, so that the k nearest
+are exact.
 
 ``score`` is the share of label 1 among the votes, weighted by class weight and a power of the cosine and shrunk towards
 the rate of label 1 among the examples that share no term. ``evidence`` names the nearest examples.
@@ -19,6 +20,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from math import log, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -34,77 +36,102 @@ BLOCK, NEAREST, POWER, PRIOR = 64, 15, 4.0, 0.5
 _WORDS = re.compile(WORD.replace("\\x3A-\\x60", "\\x3A-\\x40\\x5B-\\x60"))
 
 
-def term_counts(text: str | None, only: dict[str, int] | None = None) -> Counter:
-    """Terms of a text and how often they occur; of ``only`` those in it."""
+def term_counts(text: str | None) -> Counter:
+    """All terms of a text and how often they occur."""
     out: Counter = Counter()
     for word, n in Counter(_WORDS.findall((text or "").lower())).items():
         for term in (word, *[f"{word[:k]}*" for k in PREFIXES if len(word) > k]):
-            if only is None or term in only:
-                out[term] += n
-    for term, n in list(out.items()):
+            out[term] += n
+    return _with_levels(out)
+
+
+def _with_levels(counts: Counter) -> Counter:
+    for term, n in list(counts.items()):
         for level in LEVELS:
             if n >= level:
-                out[f"{term}#{level}"] = 1
-    if only is not None:
-        return Counter({t: n for t, n in out.items() if t in only})
-    return out
+                counts[f"{term}#{level}"] = 1
+    return counts
+
+
+class Vocabulary:
+    """The kept terms and their places; counts only them."""
+
+    def __init__(self, kept: list[str]):
+        self.kept, self.places = kept, {t: i for i, t in enumerate(kept)}
+        bases = {t.partition("#")[0] for t in kept}
+        self.words = {t for t in bases if not t.endswith("*")}
+        self.prefixes = {t[:-1] for t in bases if t.endswith("*")}
+        self.starts = {t[: PREFIXES[0]] for t in self.prefixes}
+
+    def counts(self, text: str | None) -> dict[str, int]:
+        """As ``term_counts`` has them."""
+        every = Counter(_WORDS.findall((text or "").lower()))
+        out = Counter({w: every[w] for w in every.keys() & self.words})
+        first, starts = PREFIXES[0], self.starts
+        for word in [w for w in every if w[:first] in starts]:
+            for k in PREFIXES:
+                if len(word) > k and word[:k] in self.prefixes:
+                    out[f"{word[:k]}*"] += every[word]
+        return {t: n for t, n in _with_levels(out).items() if t in self.places}
 
 
 class Index:
-    """Distinct example vectors with their votes, in blocks."""
+    """Distinct example vectors with their votes: postings of each term over all entries, by blocks, and the blocks' maxima."""
 
     def __init__(self, vectors: list[dict[int, float]], votes: list[tuple[float, float]], names: list[int], size: int):
         order = sorted(range(len(vectors)), key=lambda i: (max(vectors[i], key=lambda t: (vectors[i][t], -t)), sorted(vectors[i])))
         self.votes = np.array([votes[i] for i in order], float).reshape(-1, 2)
         self.names = [names[i] for i in order]
         self.blocks = -(-len(order) // BLOCK)
-        self.bounds = np.zeros((size, self.blocks))
-        self.postings: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        found: dict[tuple[int, int], list] = {}
+        self.postings = np.zeros((size, self.blocks, BLOCK), np.float32)
         for place, i in enumerate(order):
             for term, weight in vectors[i].items():
-                found.setdefault((term, place // BLOCK), []).append((place % BLOCK, weight))
-        for (term, block), rows in found.items():
-            at, weights = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-            self.postings[term, block] = at, weights
-            self.bounds[term, block] = weights.max()
+                self.postings[term, place // BLOCK, place % BLOCK] = weight
+        self.bounds = self.postings.max(axis=2, initial=0)
+        self.least_vote = float(self.votes.sum(axis=1).min()) if len(self.votes) else 0.0
 
     def nearest(self, query: dict[int, float], k: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k entries with the greatest positive cosine; of equal ones the first."""
         terms = sorted(query)
-        weights = np.array([query[t] for t in terms])
+        weights = np.array([query[t] for t in terms], np.float32)
         bounds = weights @ self.bounds[terms]
-        places, cosines, least = np.empty(0, int), np.empty(0), 0.0
-        for block in np.argsort(-bounds, kind="stable"):
-            if bounds[block] <= 0 or len(places) >= k and bounds[block] < least - 1e-12:
+        order = np.argsort(-bounds, kind="stable")
+        order = order[bounds[order] > 0]
+        places, cosines, at, step = np.empty(0, int), np.empty(0, np.float32), 0, 2
+        while at < len(order):
+            if len(places) >= k:
+                order = order[: at + int(np.searchsorted(-bounds[order[at:]], -(cosines[-1] - 1e-5), "right"))]
+            part = order[at : at + step]
+            at, step = at + step, 4 * step
+            if not len(part):
                 break
-            dots = np.zeros(BLOCK)
-            for t, w in zip(terms, weights, strict=True):
-                if (t, block) in self.postings:
-                    at, x = self.postings[t, block]
-                    dots[at] += w * x
-            hit = np.flatnonzero(dots > 0)
-            places, cosines = np.concatenate([places, hit + block * BLOCK]), np.concatenate([cosines, dots[hit]])
-            best = np.lexsort((places, -np.round(cosines, 12)))[:k]
+            dots = np.tensordot(weights, self.postings[np.ix_(terms, part)], 1)
+            rows, columns = np.nonzero(dots > 0)
+            places, cosines = np.concatenate([places, part[rows] * BLOCK + columns]), np.concatenate([cosines, dots[rows, columns]])
+            if len(places) > k:
+                least = np.partition(cosines, len(cosines) - k)[len(cosines) - k]
+                near = cosines >= least - 1e-6
+                places, cosines = places[near], cosines[near]
+            best = np.lexsort((places, -np.round(cosines, 5)))[:k]
             places, cosines = places[best], cosines[best]
-            least = cosines[-1] if len(cosines) else 0.0
         return places, cosines
 
 
 class Model:
     """Vocabulary, inverse document frequencies, index and base rate."""
 
-    def __init__(self, vocabulary: dict[str, int], idf: np.ndarray, index: Index | None, rate: float):
+    def __init__(self, vocabulary: Vocabulary, idf: np.ndarray, index: Index | None, rate: float):
         self.vocabulary, self.idf, self.index, self.rate = vocabulary, idf, index, rate
         self.seen: dict[tuple, tuple[float, list[int]]] = {}
 
-    def vector(self, counts: Counter) -> dict[int, float]:
-        raw = {self.vocabulary[t]: (1 + np.log(n)) * self.idf[self.vocabulary[t]] for t, n in counts.items()}
-        norm = np.sqrt(sum(x * x for x in raw.values()))
+    def vector(self, counts: dict[str, int]) -> dict[int, float]:
+        at = self.vocabulary.places
+        raw = {at[t]: (1 + log(n)) * self.idf[at[t]] for t, n in counts.items()}
+        norm = sqrt(sum(x * x for x in raw.values()))
         return {t: x / norm for t, x in sorted(raw.items())} if norm > 0 else {}
 
     def score(self, text: str | None) -> tuple[float, list[int]]:
-        counts = term_counts(text, self.vocabulary)
+        counts = self.vocabulary.counts(text)
         if not counts or self.index is None or not self.index.blocks:
             return self.rate, []
         key = tuple(sorted(counts.items()))
@@ -114,8 +141,8 @@ class Model:
             places, cosines = self.index.nearest(self.vector(counts), NEAREST)
             weights = np.minimum(cosines, 1.0) ** POWER
             for_, against = weights @ self.index.votes[places] if len(places) else (0.0, 0.0)
-            scale = self.index.votes.sum(axis=1).min()
-            value = (for_ + PRIOR * scale * self.rate) / (for_ + against + PRIOR * scale)
+            shrink = PRIOR * self.index.least_vote
+            value = (for_ + shrink * self.rate) / (for_ + against + shrink)
             self.seen[key] = float(min(1.0, max(0.0, value))), [self.index.names[i] for i in places[:3]]
         return self.seen[key]
 
@@ -138,20 +165,21 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, vocabu
     sizes = {r["label"]: r["count"] for r in examples.groupBy("label").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
-        return Model({}, np.empty(0), None, float(bool(n1)))
+        return Model(Vocabulary([]), np.empty(0), None, float(bool(n1)))
     one, zero = F.sum("label"), F.sum(1 - F.col("label"))
     by_term = found.select("label", F.explode_outer("terms").alias("term")).where("term is not null").groupBy("term").agg(one.alias("a"), zero.alias("b")).where(f"a + b >= {LEAST_DOCS}")
     chi2 = F.expr(f"double({n1 + n0}) * pow(double(a) * {n0} - double(b) * {n1}, 2) / ((double(a) + b) * ({n1 + n0} - a - b + 1e-9) * {n1} * {n0})")
     best = by_term.where(f"double(a) * {n0} > double(b) * {n1}").withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2)
     kept = [r["term"] for r in best.orderBy(F.desc("chi2"), "term").limit(vocabulary).collect()]
-    places = {t: i for i, t in enumerate(kept)}
+    terms_ = Vocabulary(kept)
+    places = terms_.places
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(kept) + 1, np.int64)
         for batch in batches:
             for t in batch.column(0):
                 total[-1] += 1
-                for term in term_counts(t.as_py(), places):
+                for term in terms_.counts(t.as_py()):
                     total[places[term]] += 1
         yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], names=["term", "n"])
 
@@ -159,11 +187,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, vocabu
     for r in docs.select("text").mapInArrow(frequencies, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect():
         df[r["term"]] = r["n"]
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-    model = Model(places, idf, None, 0.0)
+    model = Model(terms_, idf, None, 0.0)
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = [[(places[t], n) for t, n in sorted(term_counts(t.as_py(), places).items())] for t in batch.column(2)]
+            pairs = [[(places[t], n) for t, n in sorted(terms_.counts(t.as_py()).items())] for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([[p for p, _ in x] for x in pairs], pa.list_(pa.int32())), pa.array([[n for _, n in x] for x in pairs], pa.list_(pa.int64()))], names=["doc_id", "label", "terms", "counts"])
 
     votes: dict[tuple, list] = {}
@@ -173,7 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, vocabu
         entry[0 if r["label"] else 1] += weight[r["label"]]
     model.rate = none[0] / max(1.0, sum(none))
     entries = sorted(votes.items())
-    vectors = [model.vector(Counter({kept[t]: n for t, n in key})) for key, _ in entries]
+    vectors = [model.vector({kept[t]: n for t, n in key}) for key, _ in entries]
     model.index = Index(vectors, [(v[0], v[1]) for _, v in entries], [v[2] for _, v in entries], len(kept))
     return model
 
