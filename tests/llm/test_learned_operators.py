@@ -152,6 +152,48 @@ def test_embeddings_equal_brute_force(spark):
     assert [r["kept"] for r in got] == [i == p for i, p in enumerate(parts)]
 
 
+def near(rng, x, cosine):
+    """A unit vector at this cosine from the unit vector x."""
+    y = rng.standard_normal(len(x))
+    y -= (y @ x) * x
+    return cosine * x + np.sqrt(1 - cosine**2) * y / np.linalg.norm(y)
+
+
+def unit(rng, width):
+    x = rng.standard_normal(width)
+    return x / np.linalg.norm(x)
+
+
+def packed(spark, xs):
+    return spark.createDataFrame([(i, 1, bytearray(np.asarray(x, np.float32).tobytes())) for i, x in enumerate(xs)], "nid long, part long, vec binary")
+
+
+def test_audit_draws_anew_and_counts_nodes(spark):
+    rng = np.random.default_rng(3)
+    middle = unit(rng, 64)
+    group, firsts = [near(rng, middle, 0.999) for _ in range(300)], [unit(rng, 64) for _ in range(40)]
+    xs = group + [x for f in firsts for x in (f, near(rng, f, 0.95))]
+    nodes = packed(spark, xs)
+    parts = spark.createDataFrame([(i, 0) for i in range(300)], "id long, component long")
+    recall, missed = embeddings._audit(nodes, parts, len(xs), 0, 6, 0.93)
+    assert recall == 0 and {frozenset(r) for r in missed.collect()} == {frozenset((300 + 2 * i, 301 + 2 * i)) for i in range(40)}
+    placed = nodes.selectExpr("nid", "part", "nid as component", "vec")
+    drawn = [{r["src"] for r in embeddings._audited(placed, 50, salt, 0.93).collect()} for salt in (3, 4)]
+    assert all(len(d) == 50 for d in drawn) and len(drawn[0] & drawn[1]) < 25
+
+
+def test_pairs_beside_a_large_group_are_found(spark):
+    rng = np.random.default_rng(4)
+    middle = unit(rng, 64)
+    xs = [near(rng, middle, 0.999) for _ in range(600)]
+    for _ in range(300):
+        xs.append(unit(rng, 64))
+        xs.append(near(rng, xs[-1], 0.935))
+    df = spark.createDataFrame([(i, [float(v) for v in x], 1) for i, x in enumerate(xs)], "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: r["component_id"] for r in embeddings.near_duplicates(df, trees=1, rounds=1).collect()}
+    assert got == {i: 0 if i < 600 else i - i % 2 for i in range(len(xs))}
+
+
 def test_no_embeddings(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embeddings.near_duplicates(df).count() == 0
