@@ -2,13 +2,14 @@
 
 Vectors are compared only with equal label and length. Equal vectors are one node with a multiplicity. Then
 
-1. a forest of random hyperplane codes puts nodes into chunks; the best ``LIST`` neighbours found there are the first lists;
+1. a forest of random hyperplane codes puts nodes into chunks; the best ``LIST`` neighbours found there are the first lists.
+   There are as many trees as two vectors at the threshold need to meet in one, given the depth of the codes. Crowded
+   chunks are split by further planes, with more trees again;
 2. rounds of NN-descent: around each node its neighbours and those that list it are compared with each other, and whoever
-   beats the end of a list enters it; until few lists change (Dong et al., 2011);
+   beats the end of a list enters it; until few lists change (Dong et al., 2011). Lists full of links get longer by the round;
 3. every comparison also keeps its threshold edges, as a spanning forest of the nodes at hand, so that lists full of the
    nearest copies of a large group do not cut it off from the rest;
-4. saturated lists, full of links, are enlarged to all that can be linked: the component, compared block by block on
-   full vectors. That gives the exact number of links within each component without writing the pairs;
+4. links are counted among all that can be linked: the component, compared block by block on full vectors. That gives the exact number of links within each component without writing the pairs;
 5. an audit compares a hashed sample of nodes, a fresh one each time, with all nodes. Recall is measured per node, before
    the links that the audit found are kept; while it is below ``RECALL``, new trees and rounds follow. Where the last
    attempt stays below, a warning tells the figure.
@@ -33,7 +34,8 @@ from pyspark.sql import functions as F
 from tessella.llm.common import connected_components, discard, materialize, sorted_groups
 
 THRESHOLD = 0.93
-TREES, LEAF, CHUNK, LIST = 8, 48, 256, 6
+#: TREES: at least; the depth of the codes calls for more.
+TREES, LEAF, CHUNK, LIST, SPLITS = 8, 48, 256, 6, 2
 #: CHANGED: a round that brings the lists less than this closer, on average, is the last.
 ROUNDS, CHANGED, RECALL, TRIES = 3, 0.002, 0.995, 5
 #: The audit's first sample, its largest, and the nodes with few links that it should have: 600 show a loss of one in 200 with 95 %.
@@ -109,33 +111,62 @@ def _compared(rows: DataFrame, keep: int, threshold: float) -> DataFrame:
     return rows.select("k1", "k2", "nid", "floor", "vec").repartition("k1", "k2").sortWithinPartitions("k1", "k2").mapInArrow(run, FOUND)
 
 
-def _codes(nodes: DataFrame, first: int, trees: int, leaf: int) -> DataFrame:
-    """(k1, tree, nid, vec): k1 is the hash of tree, label, length and of as many signs as the group's size calls for."""
+def _trees(depth: np.ndarray, threshold: float) -> np.ndarray:
+    """How many codes of ``depth`` signs a pair at the threshold needs to share one with probability ``RECALL``."""
+    same = (1 - np.arccos(min(1.0, threshold)) / np.pi) ** np.asarray(depth, float)
+    return np.ceil(np.log1p(-RECALL) / np.log(np.maximum(1 - same, 1e-9))).astype(np.int64)
+
+
+def _split(groups: DataFrame, sizes: DataFrame, trees: int, leaf: int, threshold: float) -> DataFrame:
+    """Splits the groups (k1, tree, depth, nid, vec) that are in ``sizes`` (of, n) by further hyperplanes.
+
+    A group of n rows gets log2(n / leaf) more signs, and its rows as many trees more as the greater depth calls for, each
+    with planes of its own; ``trees`` at least at the start.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
         for batch in batches:
             for i in range(0, batch.num_rows, 2048):
                 part = batch.slice(i, 2048)
-                n, vec = part.column(3).to_numpy(), part.column(1)
-                dims = np.array([len(v) // 4 for v in vec.to_pylist()])
-                for d in np.unique(dims):
-                    at = np.flatnonzero(dims == d)
-                    if d not in planes:
-                        planes[d] = np.random.default_rng([int(d), 7]).standard_normal((32 * (first + trees), d))[32 * first :]
-                    x = _matrix(vec.take(pa.array(at)))
-                    bits = np.ceil(np.log2(np.maximum(1.0, n[at] / leaf))).astype(int).clip(0, 32)
-                    signs = (x @ planes[d].T > 0).reshape(len(at), trees, 32)
-                    used = signs & (np.arange(32) < bits[:, None])[:, None, :]
-                    codes = (used * (1 << np.arange(32, dtype=np.int64))).sum(axis=2)
-                    rows = np.repeat(at, trees)
-                    picked = part.take(pa.array(rows))
-                    yield pa.RecordBatch.from_arrays([pa.array(codes.ravel()), pa.array(np.tile(np.arange(first, first + trees), len(at)), pa.int32()), picked.column(0), picked.column(1), picked.column(2)], names=["code", "tree", "nid", "vec", "part"])
-
-    sizes = nodes.groupBy("part").agg(F.count("*").alias("n"))
-    sized = nodes.join(sizes.withColumnRenamed("part", "of"), F.col("part") == F.col("of"))
-    out = sized.select("nid", "vec", "part", "n").mapInArrow(run, "code bigint, tree int, nid bigint, vec binary, part bigint")
-    return out.select(F.xxhash64("code", "tree", "part").alias("k1"), "tree", "nid", "vec")
+                tree, depth, n = (part.column(k).to_numpy() for k in (1, 2, 5))
+                dims = np.array([len(v) // 4 for v in part.column(4).to_pylist()])
+                bits = np.ceil(np.log2(np.maximum(1.0, n / leaf))).astype(int).clip(0, 32)
+                more = np.where(depth == 0, np.maximum(trees, _trees(bits, threshold)), -(-_trees(depth + bits, threshold) // np.maximum(trees, _trees(depth, threshold))))
+                for d, t in sorted(set(zip(dims.tolist(), tree.tolist(), strict=True))):
+                    at = np.flatnonzero((dims == d) & (tree == t))
+                    x = _matrix(part.column(4).take(pa.array(at)))
+                    for r in range(int(more[at].max())):
+                        own = np.flatnonzero(more[at] > r)
+                        name = t * 1000 + r + 1
+                        planes = np.random.default_rng([d, 7, name]).standard_normal((int(bits[at].max()), d))
+                        used = (x[own] @ planes.T > 0) & (np.arange(len(planes)) < bits[at[own], None])
+                        codes = (used * (1 << np.arange(len(planes), dtype=np.int64))).sum(axis=1)
+                        picked = part.take(pa.array(at[own]))
+                        columns = [picked.column(0), pa.array(np.full(len(own), name)), pa.array((depth + bits)[at[own]]), picked.column(3), picked.column(4), pa.array(codes)]
+                        yield pa.RecordBatch.from_arrays(columns, names=["k1", "tree", "depth", "nid", "vec", "code"])
+
+    sized = groups.join(sizes, F.col("k1") == F.col("of")).select("k1", "tree", "depth", "nid", "vec", "n")
+    out = sized.mapInArrow(run, "k1 bigint, tree bigint, depth bigint, nid bigint, vec binary, code bigint")
+    return out.select(F.xxhash64("code", "tree", "k1").alias("k1"), "tree", "depth", "nid", "vec")
+
+
+def _codes(nodes: DataFrame, attempt: int, trees: int, leaf: int, threshold: float) -> DataFrame:
+    """(k1, tree, depth, nid, vec): groups of nodes with equal signs. Groups above ``CHUNK`` are split ``SPLITS`` times more."""
+    start = nodes.select(F.col("part").alias("k1"), F.lit(attempt + 1).cast("long").alias("tree"), F.lit(0).cast("long").alias("depth"), "nid", "vec")
+    out = materialize(_split(start, _sizes(start), trees, leaf, threshold), f"codes{attempt}")
+    for level in range(SPLITS):
+        large = materialize(_sizes(out).where(F.col("n") > CHUNK), f"large{attempt}-{level}")
+        if not large.take(1):
+            break
+        rest = out.join(large, F.col("k1") == F.col("of"), "left_anti")
+        split = materialize(rest.unionByName(_split(out, large, trees, leaf, threshold)), f"codes{attempt}-{level}")
+        discard(out)
+        out = split
+    return out
+
+
+def _sizes(groups: DataFrame) -> DataFrame:
+    return groups.groupBy(F.col("k1").alias("of")).agg(F.count("*").alias("n"))
 
 
 def _salted(rows: DataFrame, size: int) -> DataFrame:
@@ -144,12 +175,16 @@ def _salted(rows: DataFrame, size: int) -> DataFrame:
     return rows.join(counts, F.col("k1") == F.col("of")).withColumn("k2", F.pmod(F.xxhash64("nid", "k1"), F.ceil(F.col("n") / size))).drop("of")
 
 
-def _lists(found: DataFrame, size: int) -> DataFrame:
-    """(src, list): the ``size`` best of each node, as structs of sim and dst; distances of both ends count."""
+def _lists(found: DataFrame, size: int, grown: int, threshold: float) -> DataFrame:
+    """(src, list): the ``size`` best of each node, as structs of sim and dst; distances of both ends count.
+
+    A list that is full of links is longer: it has its further links too, up to ``grown`` entries.
+    """
     both = found.select("src", "dst", "sim").unionByName(found.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "sim"))
     # a partial maximum a pair first, so that a pair found often is carried once
     pairs = both.groupBy("src", "dst").agg(F.max("sim").alias("sim"))
-    return pairs.groupBy("src").agg(F.slice(F.sort_array(F.collect_list(F.struct("sim", "dst")), asc=False), 1, size).alias("list"))
+    best = pairs.groupBy("src").agg(F.slice(F.sort_array(F.collect_list(F.struct("sim", "dst")), asc=False), 1, grown).alias("list"))
+    return best.select("src", F.filter("list", lambda e, i: (i < size) | (e["sim"] >= threshold)).alias("list"))
 
 
 def _round(nodes: DataFrame, lists: DataFrame, size: int, threshold: float) -> DataFrame:
@@ -271,18 +306,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, trees: int
     packed = materialize(distinct.select(F.monotonically_increasing_id().alias("nid"), part.alias("part"), "vec_id", "copies", "label", "e"), "nodes")
     nodes = materialize(packed.select("nid", "part", "vec_id", "copies", "e").mapInArrow(pack, "nid bigint, part bigint, vec_id bigint, copies bigint, vec binary"), "packed")
     n = nodes.count()
-    lists, links, first = None, None, 0
+    lists, links = None, None
     for attempt in range(TRIES):
-        coded = _codes(nodes, first, trees, leaf).withColumn("floor", F.lit(-2.0).cast("double"))
-        first += trees
+        codes = _codes(nodes, attempt, trees, leaf, threshold)
+        coded = codes.withColumn("floor", F.lit(-2.0).cast("double"))
         found = materialize(_compared(_salted(coded, CHUNK), size, threshold), f"forest{attempt}")
+        discard(codes)
         links = _joined(links, found, f"links{attempt}")
-        lists = _merged(lists, found, size, f"lists{attempt}")
+        lists = _merged(lists, found, size, 2 * size, threshold, f"lists{attempt}")
         for step in range(rounds):
             found = materialize(_round(nodes, lists, size, threshold), f"round{attempt}-{step}")
-            before = _closeness(lists)
-            links, lists = _joined(links, found, f"links{attempt}-{step}"), _merged(lists, found, size, f"lists{attempt}-{step}")
-            if _closeness(lists) - before < CHANGED * n * size:
+            before = _closeness(lists, size)
+            links, lists = _joined(links, found, f"links{attempt}-{step}"), _merged(lists, found, size, size << (step + 2), threshold, f"lists{attempt}-{step}")
+            if _closeness(lists, size) - before < CHANGED * n * size:
                 break
         parts = _parts(links, f"parts{attempt}")
         reached, missed = _audit(nodes, parts, n, attempt, size, threshold)
@@ -307,9 +343,9 @@ def _parts(links: DataFrame, tag: str) -> DataFrame:
     return materialize(connected_components(links.select(F.col("src").alias("a"), F.col("dst").alias("b"))), tag)
 
 
-def _closeness(lists: DataFrame) -> float:
-    """Sum of 1 + cosine over all lists; it only grows from round to round."""
-    return lists.agg(F.coalesce(F.sum(F.aggregate("list", F.lit(0.0), lambda s, e: s + 1 + e["sim"])), F.lit(0.0))).first()[0]
+def _closeness(lists: DataFrame, size: int) -> float:
+    """Sum of 1 + cosine over the ``size`` best of all lists; it only grows from round to round."""
+    return lists.agg(F.coalesce(F.sum(F.aggregate(F.slice("list", 1, size), F.lit(0.0), lambda s, e: s + 1 + e["sim"])), F.lit(0.0))).first()[0]
 
 
 def _joined(links: DataFrame | None, found: DataFrame, tag: str) -> DataFrame:
@@ -320,9 +356,9 @@ def _joined(links: DataFrame | None, found: DataFrame, tag: str) -> DataFrame:
     return out
 
 
-def _merged(lists: DataFrame | None, found: DataFrame, size: int, tag: str) -> DataFrame:
+def _merged(lists: DataFrame | None, found: DataFrame, size: int, grown: int, threshold: float, tag: str) -> DataFrame:
     old = None if lists is None else lists.select("src", F.explode("list").alias("e")).select("src", "e.dst", "e.sim")
-    out = materialize(_lists(found if old is None else found.select("src", "dst", "sim").unionByName(old), size), tag)
+    out = materialize(_lists(found if old is None else found.select("src", "dst", "sim").unionByName(old), size, grown, threshold), tag)
     discard(found)
     if lists is not None:
         discard(lists)

@@ -194,6 +194,25 @@ def test_pairs_beside_a_large_group_are_found(spark):
     assert got == {i: 0 if i < 600 else i - i % 2 for i in range(len(xs))}
 
 
+def test_forest_keeps_pairs_as_it_deepens(spark):
+    rng = np.random.default_rng(5)
+    middle, xs = unit(rng, 64), []
+    for _ in range(1500):  # at two depths, and in a crowded direction that random chunks would part
+        xs.append(near(rng, middle, 0.6) if len(xs) < 1500 else unit(rng, 64))
+        xs.append(near(rng, xs[-1], 0.935))
+    codes = embeddings._codes(packed(spark, xs), 0, 8, 4, 0.93)
+    salted = embeddings._salted(codes, embeddings.CHUNK).select("k1", "k2", "nid").distinct()
+    pair = F.floor(F.col("nid") / 2).alias("pair")
+    met = salted.groupBy("k1", "k2", pair).agg(F.countDistinct("nid").alias("n")).where("n = 2").select("pair").distinct().count()
+    assert met >= 0.99 * 1500
+
+
+def test_lists_full_of_links_are_longer(spark):
+    found = spark.createDataFrame([(0, d, 0.99 - d / 1000, False) for d in range(1, 21)] + [(100, 100 + d, 0.5, False) for d in range(1, 21)], embeddings.FOUND)
+    sizes = {r["src"]: len(r["list"]) for r in embeddings._lists(found, 6, 12, 0.93).collect()}
+    assert sizes[0] == 12 and sizes[100] == 6
+
+
 def test_no_embeddings(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embeddings.near_duplicates(df).count() == 0
