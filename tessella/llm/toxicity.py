@@ -1,7 +1,8 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are words and their first 5, 6 and 7 letters, once more with ``#2`` and ``#4`` where they occur as often. From a
-bounded labelled sample the ``vocabulary`` terms that are most associated with the label (chi-squared) are kept; document
+bounded labelled sample all terms are kept that occur in ``LEAST_DOCS`` examples and are associated with label 1 (chi-squared
+of ``LEAST_CHI2`` or more), however many; the others are not in the vectors. Document
 frequencies are counted over all documents. Examples with equal vectors are one entry of the index with their votes added.
 
 Each term has its postings in blocks of ``BLOCK`` entries and the greatest weight of every block. Blocks are visited in the
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from tessella.llm.common import WORD, sample_labels
 
 PREFIXES, LEVELS = (5, 6, 7), (2, 4)
-VOCABULARY, LEAST_CHI2, LEAST_DOCS = 512, 15.0, 4
+LEAST_CHI2, LEAST_DOCS = 15.0, 4
 PER_CLASS = 4000
 BLOCK, NEAREST, POWER, PRIOR = 64, 15, 4.0, 0.5
 _WORDS = re.compile(WORD.replace("\\x3A-\\x60", "\\x3A-\\x40\\x5B-\\x60"))
@@ -83,11 +84,15 @@ class Index:
         self.votes = np.array([votes[i] for i in order], float).reshape(-1, 2)
         self.names = [names[i] for i in order]
         self.blocks = -(-len(order) // BLOCK)
-        self.postings = np.zeros((size, self.blocks, BLOCK), np.float32)
+        # rows of BLOCK weights for the blocks in which a term occurs; row 0 is that of all others
+        used = sorted({(term, place // BLOCK) for place, i in enumerate(order) for term in vectors[i]})
+        self.rows, self.postings = np.zeros((size, self.blocks), np.int32), np.zeros((len(used) + 1, BLOCK), np.float32)
+        for row, at in enumerate(used, 1):
+            self.rows[at] = row
         for place, i in enumerate(order):
             for term, weight in vectors[i].items():
-                self.postings[term, place // BLOCK, place % BLOCK] = weight
-        self.bounds = self.postings.max(axis=2, initial=0)
+                self.postings[self.rows[term, place // BLOCK], place % BLOCK] = weight
+        self.bounds = self.postings.max(axis=1, initial=0)[self.rows]
         self.least_vote = float(self.votes.sum(axis=1).min()) if len(self.votes) else 0.0
 
     def nearest(self, query: dict[int, float], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +110,7 @@ class Index:
             at, step = at + step, 4 * step
             if not len(part):
                 break
-            dots = np.tensordot(weights, self.postings[np.ix_(terms, part)], 1)
+            dots = np.tensordot(weights, self.postings[self.rows[np.ix_(terms, part)]], 1)
             rows, columns = np.nonzero(dots > 0)
             places, cosines = np.concatenate([places, part[rows] * BLOCK + columns]), np.concatenate([cosines, dots[rows, columns]])
             if len(places) > k:
@@ -147,7 +152,7 @@ class Model:
         return self.seen[key]
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, vocabulary: int = VOCABULARY) -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """A model of ``labels`` (doc_id, label 0 or 1 in column toxic) on the texts of ``docs`` (doc_id, text).
 
     The sample is bounded by ``per_class``; only its terms' counts, and the vectors over the vocabulary, reach the driver.
@@ -170,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, vocabu
     by_term = found.select("label", F.explode_outer("terms").alias("term")).where("term is not null").groupBy("term").agg(one.alias("a"), zero.alias("b")).where(f"a + b >= {LEAST_DOCS}")
     chi2 = F.expr(f"double({n1 + n0}) * pow(double(a) * {n0} - double(b) * {n1}, 2) / ((double(a) + b) * ({n1 + n0} - a - b + 1e-9) * {n1} * {n0})")
     best = by_term.where(f"double(a) * {n0} > double(b) * {n1}").withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2)
-    kept = [r["term"] for r in best.orderBy(F.desc("chi2"), "term").limit(vocabulary).collect()]
+    kept = [r["term"] for r in best.orderBy(F.desc("chi2"), "term").collect()]  # as many as the bounded examples have
     terms_ = Vocabulary(kept)
     places = terms_.places
 

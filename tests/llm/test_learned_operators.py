@@ -152,6 +152,15 @@ def test_embeddings_equal_brute_force(spark):
     assert [r["kept"] for r in got] == [i == p for i, p in enumerate(parts)]
 
 
+def test_toxicity_keeps_all_associated_terms(spark):
+    bad = [f"z{i:03d}q" for i in range(600)]
+    texts = [f"{w} plain text" for w in bad for _ in range(30)] + [f"plain text {i % 50}" for i in range(18000)]
+    labels = spark.createDataFrame([(i, int(i < 18000)) for i in range(36000)], "doc_id long, toxic int")
+    model = toxicity.train(docs(spark, texts).repartition(4), labels, per_class=18000)
+    assert set(bad) <= set(model.vocabulary.kept)
+    assert all(model.score(f"{w} plain text")[0] > 0.5 for w in bad)
+
+
 def near(rng, x, cosine):
     """A unit vector at this cosine from the unit vector x."""
     y = rng.standard_normal(len(x))
