@@ -33,6 +33,8 @@ KINDS = {
 #: Candidates of the models.
 TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
 MIN_TOTAL, MIN_MEAN = 6.0, 0.5
+#: What joins a token to a name or path, and the least length of a part.
+JOINTS, PART = ("[/=_-]+", "=+"), 16
 #: Ordinary parts of identifiers, from which the labelled identifiers are put together.
 IDENTIFIERS = (
     "get set is has make build read write load store open close file path name value index count total user account order item list map array node tree graph "
@@ -99,10 +101,17 @@ def scan_secrets(docs: DataFrame, model: list[float] | None = None, min_total: f
     parts = [_matches(F.col("text"), k, KINDS[n][0], KINDS[n][1]) for k, n in enumerate(KINDS)] + [_matches(F.col("text"), len(KINDS), TOKEN, False)]
     mark = F.array(F.struct(F.lit(-1).alias("kind"), F.lit(0).alias("i"), F.lit(0).alias("gap"), F.lit(0).alias("size"), F.lit("").alias("token")))
     rows = df.select("rid", "doc_id", F.explode_outer(F.concat(mark, *parts)).alias("m")).select("rid", "doc_id", "m.*")
-    llr = F.when(F.col("kind") == len(KINDS), _llr(docs.sparkSession, model, F.col("token")))
+
+    def like_random(token):
+        llr = _llr(docs.sparkSession, model, token)
+        return (llr >= min_total) & (llr >= min_mean * (F.length(token) - 1))
+
+    pieces = F.concat(*[F.split("token", joint) for joint in JOINTS])
+    inner = F.exists(F.filter(pieces, lambda p: (F.length(p) >= PART) & (p != F.col("token"))), like_random)
+    random = F.when(F.col("kind") == len(KINDS), like_random(F.col("token")) | inner)
     least = F.element_at(F.array(*[F.lit(KINDS[n][2]) for n in KINDS]), F.greatest(F.col("kind"), F.lit(0)) + 1)
-    good = F.when(F.col("kind") < 0, True).when(F.col("kind") < len(KINDS), F.length("token") >= least).otherwise((F.col("llr") >= min_total) & (F.col("llr") >= min_mean * (F.length("token") - 1)))
-    rows = rows.withColumn("llr", llr).select("rid", "doc_id", "kind", "i", "gap", "size", good.alias("good"))
+    good = F.when(F.col("kind") < 0, True).when(F.col("kind") < len(KINDS), F.length("token") >= least).otherwise(random)
+    rows = rows.select("rid", "doc_id", "kind", "i", "gap", "size", good.alias("good"))
     rows = rows.repartition("rid")  # what follows needs the rows of a document together, and no more
     upto = Window.partitionBy("rid", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("stop", F.sum(F.col("gap") + F.col("size")).over(upto)).where("good")

@@ -117,6 +117,17 @@ def test_markov_models_part_labelled_strings(spark):
     assert sum(score(s) > 0.5 for s in secrets) >= 0.98 * len(secrets) and all(score(p) < 0 for p in plain)
 
 
+def test_random_strings_joined_to_words_are_found(spark):
+    rng = random.Random(7)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    heads = ["", "production_database_credential=", "/repos/organisation/project/settings/", "the_name_of_a_setting_that_goes_on_for_a_long_while="]
+    texts = [f"see {h}{''.join(rng.choice(letters) for _ in range(24))} there" for h in heads for _ in range(50)]
+    plain = ["/blog/2023/01/15/how-to-read-a-document", "get_user_session_token_value=default_name", "documentation/reference/index-of-all-pages"]
+    got = {r["doc_id"]: r["spans"] for r in scan_secrets(docs(spark, texts + plain), train_model(docs(spark, ["some ordinary words of a document that goes on"]))).collect()}
+    assert sum(bool(got[i]) for i in range(len(texts))) >= 0.98 * len(texts)
+    assert not any(got[len(texts) + i] for i in range(len(plain)))
+
+
 def test_redaction(spark):
     df = docs(spark, SECRETS)
     out = {r["doc_id"]: r for r in redact_secrets(df).collect()}
