@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DICTIONARY, BLOCK = 1 << 16, 4096
-SAMPLE = 400  # texts of a language, about
+SAMPLE = 400  # distinct texts of a language, about
 PIECE = 2000  # characters of a text that a dictionary may take
 TEMPER, MARGIN = 16.0, 0.004
 PREDICTED = "lang_pred string, score double, rejected boolean"
@@ -35,9 +35,10 @@ def letters(text: Column) -> Column:
 
 def train_dictionaries(labelled: DataFrame, sample: int = SAMPLE, size: int = DICTIONARY) -> list[tuple[str, bytes]]:
     """(lang, dictionary) of ``labelled`` (text, lang), the languages with most documents first."""
-    known = labelled.where("lang is not null and text is not null").select("lang", "text", (F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)).alias("x"))
-    counts = known.groupBy("lang").count()
-    rates = counts.select(F.col("lang").alias("of"), "count", (F.lit(float(sample)) / F.col("count")).alias("rate"))
+    known = labelled.where("lang is not null").where(F.rlike("text", F.lit(r"\p{L}"))).select("lang", "text", (F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)).alias("x"))
+    # copies of a text are drawn together, so the rate is that of distinct texts
+    counts = known.groupBy("lang", F.xxhash64("text")).count().groupBy("lang").agg(F.sum("count").alias("count"), F.count("*").alias("texts"))
+    rates = counts.select(F.col("lang").alias("of"), "count", (F.lit(float(sample)) / F.col("texts")).alias("rate"))
     some = known.join(F.broadcast(rates), F.col("lang") == F.col("of")).where("x < rate")  # languages are few
     pieces = some.groupBy("lang").agg(F.max("count").alias("n"), F.array_sort(F.collect_set(F.struct("x", F.substring(letters(F.col("text")), 1, PIECE).alias("t")))).alias("s"))
     rows = pieces.select("lang", "n", F.substring(F.array_join(F.transform("s", lambda s: s["t"]), " "), 1, size).alias("d")).collect()

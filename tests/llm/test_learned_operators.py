@@ -236,6 +236,13 @@ def test_language_on_held_out_documents(spark):
     assert (out[out.held_out].lang == out[out.held_out].lang_pred).mean() > 0.9 and out.score.between(0, 1).all()
 
 
+def test_every_language_with_letters_has_a_dictionary(spark):
+    small = [(f"mot{k} numero {i}", f"l{k}") for k in range(8) for i in range(3)]
+    copies = [(f"mot{k} encore", f"l{k}") for k in range(8) for _ in range(20_000)] + [(f"{i}", "l0") for i in range(9000)]
+    known = spark.createDataFrame(small + copies, "text string, lang string").repartition(3)
+    assert sorted(name for name, _ in language.train_dictionaries(known)) == [f"l{k}" for k in range(8)]
+
+
 def test_language_of_odd_texts(spark):
     known = docs(spark, ["the and of with thing water house " * 20, "der die und mit wasser haus nicht " * 20, None, "ignored"], ["en", "de", "en", None])
     dictionaries = language.train_dictionaries(known)
