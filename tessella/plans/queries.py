@@ -323,16 +323,20 @@ def relations_left_join(spark, sf_dir):
 GEOMETRY = masks.MaskGeometry.of((120, 160), (12, 12), (3, 3), (8, 8))
 MASK_TILES = "SELECT (l_suppkey % 5)::BIGINT AS slide_id, (l_orderkey % 15) * 8 AS y, (l_partkey % 20) * 8 AS x, list_transform(range(0, 9), lambda p: ((l_linenumber + p) % 7)::DOUBLE) AS v FROM lineitem WHERE l_orderkey % 15 < 14 AND l_partkey % 20 < 19"
 
+ALL_TILES = MASK_TILES.partition(" WHERE ")[0]
 
-def mask_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey % 15 < 14 and l_partkey % 20 < 19")
+
+def mask_tiles(spark: SparkSession, sf_dir: str, edge: bool = False) -> DataFrame:
+    """Tiles of the masks; with ``edge`` all rows, with the last row and column of tiles, which reach over the slide."""
+    li = table(spark, sf_dir, "lineitem")
+    li = li if edge else li.where("l_orderkey % 15 < 14 and l_partkey % 20 < 19")
     v = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda p: ((F.col("l_linenumber") + p) % 7).cast("double"))
     return li.select((F.col("l_suppkey") % 5).alias("slide_id"), (F.col("l_orderkey") % 15 * 8).alias("y"), (F.col("l_partkey") % 20 * 8).alias("x"), v.alias("values"))
 
 
-def _mask_sql(value: str, low: int = 0, high: int = 3) -> str:
+def _mask_sql(value: str, low: int = 0, high: int = 3, tiles: str = MASK_TILES) -> str:
     # tile 12, output 3, stride 8: unit gcd(12, 24) = 12, one cell an output pixel, two cells from tile to tile
-    return f"""WITH t AS ({MASK_TILES}), c AS (SELECT slide_id, (y // 8) * 2 + p // 3 AS y, (x // 8) * 2 + p % 3 AS x, v[p + 1] AS v FROM t, unnest(range(0, 9)) AS o(p)
+    return f"""WITH t AS ({tiles}), c AS (SELECT slide_id, (y // 8) * 2 + p // 3 AS y, (x // 8) * 2 + p % 3 AS x, v[p + 1] AS v FROM t, unnest(range(0, 9)) AS o(p)
 WHERE p // 3 >= {low} AND p // 3 < {high} AND p % 3 >= {low} AND p % 3 < {high}) SELECT slide_id, 0 AS channel, y::BIGINT AS y, x::BIGINT AS x, {value} AS value, count(*) AS overlap FROM c GROUP BY slide_id, y, x"""
 
 
@@ -356,6 +360,26 @@ def mask_custom_merge(spark, sf_dir):
     return masks.assemble(mask_tiles(spark, sf_dir), GEOMETRY, lambda v: F.sum(v), by=("slide_id",))
 
 
+@query(_mask_sql("round(avg(v), 9)", tiles=ALL_TILES))
+def mask_mean_edge(spark, sf_dir):
+    return masks.assemble(mask_tiles(spark, sf_dir, True), GEOMETRY, by=("slide_id",)).withColumn("value", F.round("value", 9))
+
+
+@query(_mask_sql("greatest(max(v), 0)", tiles=ALL_TILES))
+def mask_max_edge(spark, sf_dir):
+    return masks.assemble(mask_tiles(spark, sf_dir, True), GEOMETRY, "max", by=("slide_id",))
+
+
+@query(_mask_sql("round(avg(v), 9)", 1, 2, ALL_TILES))
+def mask_clip_edge(spark, sf_dir):
+    return masks.assemble(mask_tiles(spark, sf_dir, True), GEOMETRY, clip=1, by=("slide_id",)).withColumn("value", F.round("value", 9))
+
+
+@query(_mask_sql("sum(v)", tiles=ALL_TILES))
+def mask_custom_merge_edge(spark, sf_dir):
+    return masks.assemble(mask_tiles(spark, sf_dir, True), GEOMETRY, lambda v: F.sum(v), by=("slide_id",))
+
+
 SCALAR = masks.MaskGeometry.of((96, 96), (12, 12), (1, 1), (8, 8))
 
 
