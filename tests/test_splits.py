@@ -56,6 +56,18 @@ def test_stratified_groups(rows):
     assert abs(sum(r["y"] for r in test) / len(test) - 0.5) <= 0.34
 
 
+def test_stratified_groups_keep_class_shares(spark):
+    # groups of one class each, so that a split without stratification is free to part the classes
+    rows = [(g * 5 + i, "abc"[g // 20] if g < 60 else None, f"g{g}") for g in range(80) for i in range(5)]
+    df = spark.createDataFrame(rows, "id int, y string, g string")
+    out = splits.train_test_split(df, "id", groups="g", stratify="y", test=0.25).select("id", "split").collect()
+    side = {r["id"]: r["split"] for r in out}
+    assert len(side) == len(rows)
+    for y in ("a", "b", "c", None):
+        ids = [i for i, c, _ in rows if c == y]
+        assert abs(sum(side[i] == "test" for i in ids) / len(ids) - 0.25) <= 0.05, y
+
+
 def test_ranks_are_a_total_order(spark):
     df = spark.range(1000).selectExpr("id", "cast(id * 7919 % 1000 as double) as v", "concat('k', id % 40) as s")
     assert [r["rank"] for r in ranking.global_rank(df, ["v"]).orderBy("v").collect()] == list(range(1, 1001))
