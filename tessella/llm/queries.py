@@ -8,7 +8,7 @@ from importlib import resources
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import table
+from tessella.llm.common import spread, table
 from tessella.llm.decontamination import decontaminate
 from tessella.llm.language import identify, train_dictionaries
 from tessella.llm.mixing import mix_sources
@@ -40,7 +40,7 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), width=4)
+    return near_duplicates(spread(table(spark, sf_dir, "documents")), width=4)
 
 
 def fold(n: int):
@@ -49,7 +49,7 @@ def fold(n: int):
 
 
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    out = html.extract(spread(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
@@ -58,7 +58,7 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     model = toxicity.train(docs, table(spark, sf_dir, "labels").where(fold(5) != 0))
     held = F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out")
     out = toxicity.score(docs.select("doc_id", held, "text"), model)
@@ -66,7 +66,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     field = quality.train(docs, table(spark, sf_dir, "labels").where(fold(5) != 0))
     held = F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out")
     out = quality.score(docs.select("doc_id", held, "text"), field)
@@ -74,7 +74,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     dictionaries = train_dictionaries(docs.where(fold(3) != 1))
     held = F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out")
     return identify(docs.select("doc_id", held, "text"), dictionaries).select("doc_id", "held_out", "lang_pred", "score", "rejected")

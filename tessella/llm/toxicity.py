@@ -1,19 +1,22 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and their first 5, 6 and 7 letters, once more with ``#2`` and ``#4`` where they occur as often. From a
-bounded labelled sample all terms are kept that occur in ``LEAST_DOCS`` examples and are associated with label 1 (chi-squared
-of ``LEAST_CHI2`` or more), however many; the others are not in the vectors. Document
-frequencies are counted over all documents. Examples with equal vectors are one entry of the index with their votes added.
+Terms are all words of the labelled sample; a term's weight in a text is ``(1 + log n) * idf * (FLOOR + phi)``. Document
+frequencies are counted over all documents, and phi, the correlation of a term with the label among the examples, scales
+every term and drops none. Examples with equal counts are one entry of the index with their votes added.
 
-Each term has its postings in blocks of ``BLOCK`` entries and the greatest weight of every block. Blocks are visited in the
-order of their bounds, a few and then more at a time, until the bound is below the k-th best cosine, so that the k nearest
-are exact.
+The postings of a term are cut into blocks of ``BLOCK`` entries, each with its greatest weight. The sum of these over a
+query's terms bounds the cosines of a block. Blocks are read in the order of their bounds, a few and then more at a time,
+until the bound is below the k-th best cosine, so that the k nearest are exact; of equal ones the first entry counts.
 
-``score`` is the share of label 1 among the votes, weighted by class weight and a power of the cosine and shrunk towards
-the rate of label 1 among the examples that share no term. ``evidence`` names the nearest examples.
+The share of label 1 among the votes, weighted by class and a power of the cosine and shrunk towards the share among all
+examples, becomes ``score`` by a logistic curve fitted on the examples, each judged by all others. ``evidence`` names the
+nearest examples.
 
-Defined cases: null and empty texts, and texts without a kept term, get that rate and no evidence; rows are scored one by
-one, repeated ones alike; without labels the score is 0; an empty table gives no rows; other columns are ignored.
+Bounds: about ``PER_CLASS`` examples of each class, drawn by a hash of the id and read whole, reach the driver.
+
+Defined cases: null and empty texts, and texts that share no word with an example, get the share of label 1 among the
+examples and no evidence; rows are scored one by one, repeated ones alike; without labels the score is 0, with one class
+only it is that class; an empty table gives no rows; other columns are kept, those named ``score`` or ``evidence`` replaced.
 """
 
 from __future__ import annotations
@@ -30,190 +33,222 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import WORD, sample_labels
 
-PREFIXES, LEVELS = (5, 6, 7), (2, 4)
-LEAST_CHI2, LEAST_DOCS = 15.0, 4
-PER_CLASS = 4000
-BLOCK, NEAREST, POWER, PRIOR = 64, 15, 4.0, 0.5
+FLOOR = 0.01
+PER_CLASS = 2000
+BLOCK, NEAREST, POWER, PRIOR = 64, 20, 2.0, 0.5
 _WORDS = re.compile(WORD.replace("\\x3A-\\x60", "\\x3A-\\x40\\x5B-\\x60"))
 
 
 def term_counts(text: str | None) -> Counter:
     """All terms of a text and how often they occur."""
-    out: Counter = Counter()
-    for word, n in Counter(_WORDS.findall((text or "").lower())).items():
-        for term in (word, *[f"{word[:k]}*" for k in PREFIXES if len(word) > k]):
-            out[term] += n
-    return _with_levels(out)
-
-
-def _with_levels(counts: Counter) -> Counter:
-    for term, n in list(counts.items()):
-        for level in LEVELS:
-            if n >= level:
-                counts[f"{term}#{level}"] = 1
-    return counts
+    return Counter(_WORDS.findall((text or "").lower()))
 
 
 class Vocabulary:
-    """The kept terms and their places; counts only them."""
+    """The terms of the examples and their places."""
 
     def __init__(self, kept: list[str]):
         self.kept, self.places = kept, {t: i for i, t in enumerate(kept)}
-        bases = {t.partition("#")[0] for t in kept}
-        self.words = {t for t in bases if not t.endswith("*")}
-        self.prefixes = {t[:-1] for t in bases if t.endswith("*")}
-        self.starts = {t[: PREFIXES[0]] for t in self.prefixes}
-
-    def counts(self, text: str | None) -> dict[str, int]:
-        """As ``term_counts`` has them."""
-        every = Counter(_WORDS.findall((text or "").lower()))
-        out = Counter({w: every[w] for w in every.keys() & self.words})
-        first, starts = PREFIXES[0], self.starts
-        for word in [w for w in every if w[:first] in starts]:
-            for k in PREFIXES:
-                if len(word) > k and word[:k] in self.prefixes:
-                    out[f"{word[:k]}*"] += every[word]
-        return {t: n for t, n in _with_levels(out).items() if t in self.places}
+
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the text's known terms, ascending, and how often they occur."""
+        at = self.places
+        return _sorted([(at[t], n) for t, n in term_counts(text).items() if t in at])
+
+
+def _sorted(pairs: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    both = np.array(pairs, np.int64).reshape(-1, 2)
+    both = both[np.argsort(both[:, 0])]
+    return both[:, 0], both[:, 1]
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
 
 
 class Index:
-    """Distinct example vectors with their votes: postings of each term over all entries, by blocks, and the blocks' maxima."""
+    """Distinct example vectors with their votes: sparse postings of each term, by blocks, and the blocks' maxima."""
 
     def __init__(self, vectors: list[dict[int, float]], votes: list[tuple[float, float]], names: list[int], size: int):
+        # entries with the same heaviest term lie together, so that blocks differ in their bounds
         order = sorted(range(len(vectors)), key=lambda i: (max(vectors[i], key=lambda t: (vectors[i][t], -t)), sorted(vectors[i])))
         self.votes = np.array([votes[i] for i in order], float).reshape(-1, 2)
         self.names = [names[i] for i in order]
         self.blocks = -(-len(order) // BLOCK)
-        # rows of BLOCK weights for the blocks in which a term occurs; row 0 is that of all others
-        used = sorted({(term, place // BLOCK) for place, i in enumerate(order) for term in vectors[i]})
-        self.rows, self.postings = np.zeros((size, self.blocks), np.int32), np.zeros((len(used) + 1, BLOCK), np.float32)
-        for row, at in enumerate(used, 1):
-            self.rows[at] = row
-        for place, i in enumerate(order):
-            for term, weight in vectors[i].items():
-                self.postings[self.rows[term, place // BLOCK], place % BLOCK] = weight
-        self.bounds = self.postings.max(axis=1, initial=0)[self.rows]
+        sizes = np.array([len(vectors[i]) for i in order], np.int64)
+        place = np.repeat(np.arange(len(order)), sizes)
+        term = np.fromiter((t for i in order for t in vectors[i]), np.int64, int(sizes.sum()))
+        weight = np.fromiter((w for i in order for w in vectors[i].values()), float, int(sizes.sum()))
+        by_term = np.lexsort((place, term))
+        term, self.place, self.weight = term[by_term], place[by_term].astype(np.int32), weight[by_term]
+        # a run is the postings of one term in one block
+        run = term * max(1, self.blocks) + self.place // BLOCK
+        first = np.flatnonzero(np.r_[True, run[1:] != run[:-1]]) if len(run) else np.empty(0, int)
+        self.first, self.length = first, np.diff(np.r_[first, len(run)])
+        self.block = self.place[first] // BLOCK
+        self.most = np.maximum.reduceat(self.weight, first) if len(run) else np.empty(0)
+        self.runs = np.searchsorted(term[first], np.arange(size + 1))
         self.least_vote = float(self.votes.sum(axis=1).min()) if len(self.votes) else 0.0
 
     def nearest(self, query: dict[int, float], k: int) -> tuple[np.ndarray, np.ndarray]:
+        """As ``search``."""
+        return self.search(np.fromiter(query, np.int64, len(query)), np.fromiter(query.values(), float, len(query)), k)
+
+    def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k entries with the greatest positive cosine; of equal ones the first."""
-        terms = sorted(query)
-        weights = np.array([query[t] for t in terms], np.float32)
-        bounds = weights @ self.bounds[terms]
+        places, cosines = np.empty(0, np.int64), np.empty(0)
+        if not len(terms) or not self.blocks:
+            return places, cosines
+        sizes = self.runs[terms + 1] - self.runs[terms]
+        runs, weights = _spread(self.runs[terms], sizes), np.repeat(weights, sizes)
+        blocks = self.block[runs]
+        bounds = np.bincount(blocks, weights * self.most[runs], self.blocks)
         order = np.argsort(-bounds, kind="stable")
         order = order[bounds[order] > 0]
-        places, cosines, at, step = np.empty(0, int), np.empty(0, np.float32), 0, 2
+        at, step = 0, 4
         while at < len(order):
-            if len(places) >= k:
-                order = order[: at + int(np.searchsorted(-bounds[order[at:]], -(cosines[-1] - 1e-5), "right"))]
             part = order[at : at + step]
+            if len(places) >= k:
+                part = part[bounds[part] >= cosines[k - 1] - 1e-9]
+                if not len(part):
+                    break
             at, step = at + step, 4 * step
-            if not len(part):
-                break
-            dots = np.tensordot(weights, self.postings[self.rows[np.ix_(terms, part)]], 1)
-            rows, columns = np.nonzero(dots > 0)
-            places, cosines = np.concatenate([places, part[rows] * BLOCK + columns]), np.concatenate([cosines, dots[rows, columns]])
-            if len(places) > k:
-                least = np.partition(cosines, len(cosines) - k)[len(cosines) - k]
-                near = cosines >= least - 1e-6
-                places, cosines = places[near], cosines[near]
-            best = np.lexsort((places, -np.round(cosines, 5)))[:k]
+            wanted = np.zeros(self.blocks, bool)
+            wanted[part] = True
+            own = np.flatnonzero(wanted[blocks])
+            lengths = self.length[runs[own]]
+            postings = _spread(self.first[runs[own]], lengths)
+            dots = np.bincount(self.place[postings], np.repeat(weights[own], lengths) * self.weight[postings])
+            found = np.flatnonzero(dots)
+            places, cosines = np.concatenate([places, found]), np.concatenate([cosines, dots[found]])
+            best = np.lexsort((places, -cosines))[:k]
             places, cosines = places[best], cosines[best]
         return places, cosines
 
 
 class Model:
-    """Vocabulary, inverse document frequencies, index and base rate."""
-
-    def __init__(self, vocabulary: Vocabulary, idf: np.ndarray, index: Index | None, rate: float):
-        self.vocabulary, self.idf, self.index, self.rate = vocabulary, idf, index, rate
-        self.seen: dict[tuple, tuple[float, list[int]]] = {}
-
-    def vector(self, counts: dict[str, int]) -> dict[int, float]:
-        at = self.vocabulary.places
-        raw = {at[t]: (1 + log(n)) * self.idf[at[t]] for t, n in counts.items()}
-        norm = sqrt(sum(x * x for x in raw.values()))
-        return {t: x / norm for t, x in sorted(raw.items())} if norm > 0 else {}
+    """Vocabulary, term weights, index, share of label 1, and the curve from shares of votes to scores."""
+
+    def __init__(self, vocabulary: Vocabulary, weights: np.ndarray, index: Index | None, rate: float):
+        self.vocabulary, self.weights, self.index, self.rate = vocabulary, weights, index, rate
+        self.curve = (0.0, 1.0)
+
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Weights of the terms, of norm 1."""
+        raw = (1 + np.log(counts)) * self.weights[terms]
+        return raw / sqrt(raw @ raw) if len(raw) else raw
+
+    def _share(self, cosines: np.ndarray, votes: np.ndarray) -> float:
+        for_, against = np.minimum(cosines, 1.0) ** POWER @ votes
+        shrink = PRIOR * self.index.least_vote * float(cosines[0]) ** POWER
+        value = (for_ + shrink * self.rate) / (for_ + against + shrink)
+        return log(value / (1 - value))
+
+    def fit(self, examples: list[tuple[np.ndarray, np.ndarray, int, int, float]]) -> None:
+        """The curve from (terms, counts, entry, label, weight) of the examples, each judged without its own vote."""
+        x, y, w = [], [], []
+        for terms, counts, entry, label, weight in examples:
+            places, cosines = self.index.search(terms, self.vector(terms, counts), NEAREST + 1)
+            votes = self.index.votes[places]
+            votes[places == entry, 1 - label] -= weight
+            good = votes.sum(axis=1) > 1e-9 * weight
+            if good.any():
+                x.append(self._share(cosines[good][:NEAREST], votes[good][:NEAREST]))
+                y.append(label)
+                w.append(weight)
+        if len(set(y)) == 2:
+            self.curve = _logistic(np.array(x), np.array(y, float), np.array(w))
 
     def score(self, text: str | None) -> tuple[float, list[int]]:
-        counts = self.vocabulary.counts(text)
-        if not counts or self.index is None or not self.index.blocks:
+        terms, counts = self.vocabulary.counts(text)
+        if not len(terms) or self.index is None:
             return self.rate, []
-        key = tuple(sorted(counts.items()))
-        if key not in self.seen:
-            if len(self.seen) > 50_000:
-                self.seen.clear()
-            places, cosines = self.index.nearest(self.vector(counts), NEAREST)
-            weights = np.minimum(cosines, 1.0) ** POWER
-            for_, against = weights @ self.index.votes[places] if len(places) else (0.0, 0.0)
-            shrink = PRIOR * self.index.least_vote
-            value = (for_ + shrink * self.rate) / (for_ + against + shrink)
-            self.seen[key] = float(min(1.0, max(0.0, value))), [self.index.names[i] for i in places[:3]]
-        return self.seen[key]
+        places, cosines = self.index.search(terms, self.vector(terms, counts), NEAREST)
+        if not len(places):
+            return self.rate, []
+        a, b = self.curve
+        return float(1 / (1 + np.exp(-np.clip(a + b * self._share(cosines, self.index.votes[places]), -30, 30)))), [self.index.names[i] for i in places[:3]]
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
-    """A model of ``labels`` (doc_id, label 0 or 1 in column toxic) on the texts of ``docs`` (doc_id, text).
+def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0) -> tuple[float, float]:
+    """Intercept and slope of a weighted logistic curve, by Newton's method; the ridge draws the slope to 1."""
+    w = w / w.mean()
+    z, theta = np.stack([np.ones_like(x), x], axis=1), np.array([0.0, 1.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(z @ theta, -30, 30)))
+        gradient = z.T @ (w * (y - p)) - ridge * (theta - [0.0, 1.0])
+        step = np.linalg.solve((z * (w * p * (1 - p))[:, None]).T @ z + ridge * np.eye(2), gradient)
+        theta = theta + step / max(1.0, np.abs(step).max())
+        if np.abs(step).max() < 1e-8:
+            break
+    return float(theta[0]), float(max(theta[1], 1e-3))
+
 
-    The sample is bounded by ``per_class``; only its terms' counts, and the vectors over the vocabulary, reach the driver.
-    """
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
+    """A model of ``labels`` (doc_id, label 0 or 1 in column toxic) on the texts of ``docs`` (doc_id, text)."""
     sample, weight = sample_labels(labels, "toxic", per_class)
-    examples = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([list(term_counts(t.as_py())) for t in part.column(1)], pa.list_(pa.string()))], names=["label", "terms"])
-
-    found = examples.select("label", "text").mapInArrow(terms, "label int, terms array<string>")
-    sizes = {r["label"]: r["count"] for r in examples.groupBy("label").count().collect()}
-    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    if not n1 or not n0:
-        return Model(Vocabulary([]), np.empty(0), None, float(bool(n1)))
-    one, zero = F.sum("label"), F.sum(1 - F.col("label"))
-    by_term = found.select("label", F.explode_outer("terms").alias("term")).where("term is not null").groupBy("term").agg(one.alias("a"), zero.alias("b")).where(f"a + b >= {LEAST_DOCS}")
-    chi2 = F.expr(f"double({n1 + n0}) * pow(double(a) * {n0} - double(b) * {n1}, 2) / ((double(a) + b) * ({n1 + n0} - a - b + 1e-9) * {n1} * {n0})")
-    best = by_term.where(f"double(a) * {n0} > double(b) * {n1}").withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2)
-    kept = [r["term"] for r in best.orderBy(F.desc("chi2"), "term").collect()]  # as many as the bounded examples have
-    terms_ = Vocabulary(kept)
-    places = terms_.places
-
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(kept) + 1, np.int64)
+                found = [term_counts(t.as_py()) for t in part.column(2)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))], names=["doc_id", "label", "terms", "counts"])
+
+    examples = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
+    rows = sorted(examples.mapInArrow(terms, "doc_id bigint, label int, terms array<string>, counts array<bigint>").collect(), key=lambda r: (r["doc_id"], r["label"], r["terms"], r["counts"]))
+    n = [sum(r["label"] == k for r in rows) for k in (0, 1)]
+    vocabulary = Vocabulary(sorted({t for r in rows for t in r["terms"]}))
+    if not all(n):
+        return Model(vocabulary, np.empty(0), None, float(bool(n[1])))
+    places, size = vocabulary.places, len(vocabulary.kept)
+    counts = [_sorted([(places[t], n) for t, n in zip(r["terms"], r["counts"], strict=True)]) for r in rows]
+    holds = np.zeros((2, size))
+    for r, (terms_, _) in zip(rows, counts, strict=True):
+        holds[r["label"], terms_] += 1
+    b, a = holds
+    phi = np.abs(a * n[0] - b * n[1]) / np.sqrt((a + b) * np.maximum(sum(n) - a - b, 1) * n[0] * n[1])
+    total, df = _frequencies(docs, vocabulary)
+    weights = (np.log((1 + total) / (1 + df)) + 1) * (FLOOR + phi)
+    model = Model(vocabulary, weights, None, n[1] * weight[1] / (n[0] * weight[0] + n[1] * weight[1]))
+    entries: dict[bytes, list] = {}
+    keys = [t.tobytes() + c.tobytes() for t, c in counts]
+    for r, key, (t, c) in zip(rows, keys, counts, strict=True):
+        if key:
+            entry = entries.setdefault(key, [0.0, 0.0, r["doc_id"], dict(zip(t.tolist(), model.vector(t, c).tolist(), strict=True))])
+            entry[1 - r["label"]] += weight[r["label"]]
+    if not entries:
+        return model
+    model.index = Index([v[3] for v in entries.values()], [(v[0], v[1]) for v in entries.values()], [v[2] for v in entries.values()], size)
+    at = {name: i for i, name in enumerate(model.index.names)}
+    model.fit([(t, c, at[entries[key][2]], r["label"], weight[r["label"]]) for r, key, (t, c) in zip(rows, keys, counts, strict=True) if key])
+    return model
+
+
+def _frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[int, np.ndarray]:
+    """Number of all rows of ``docs``, and of those that hold each term; one count a term and task is shuffled."""
+    size = len(vocabulary.kept)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(size + 1, np.int64)
         for batch in batches:
+            found[size] += batch.num_rows
             for t in batch.column(0):
-                total[-1] += 1
-                for term in terms_.counts(t.as_py()):
-                    total[places[term]] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], names=["term", "n"])
-
-    df = np.zeros(len(kept) + 1)
-    for r in docs.select("text").mapInArrow(frequencies, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        df[r["term"]] = r["n"]
-    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-    model = Model(terms_, idf, None, 0.0)
-
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = [[(places[t], n) for t, n in sorted(terms_.counts(t.as_py()).items())] for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([[p for p, _ in x] for x in pairs], pa.list_(pa.int32())), pa.array([[n for _, n in x] for x in pairs], pa.list_(pa.int64()))], names=["doc_id", "label", "terms", "counts"])
-
-    votes: dict[tuple, list] = {}
-    none = [0.0, 0.0]
-    for r in sorted(examples.select("doc_id", "label", "text").mapInArrow(counts, "doc_id bigint, label int, terms array<int>, counts array<bigint>").collect(), key=lambda r: (r["doc_id"], r["label"])):
-        entry = votes.setdefault(tuple(zip(r["terms"], r["counts"], strict=True)), [0.0, 0.0, r["doc_id"]]) if r["terms"] else none
-        entry[0 if r["label"] else 1] += weight[r["label"]]
-    model.rate = none[0] / max(1.0, sum(none))
-    entries = sorted(votes.items())
-    vectors = [model.vector({kept[t]: n for t, n in key}) for key, _ in entries]
-    model.index = Index(vectors, [(v[0], v[1]) for _, v in entries], [v[2] for _, v in entries], len(kept))
-    return model
+                found[vocabulary.counts(t.as_py())[0]] += 1
+        some = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(found[some])], names=["term", "n"])
+
+    out = np.zeros(size + 1)
+    for r in docs.select("text").mapInArrow(run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect():
+        out[r["term"]] = r["n"]
+    return int(out[size]), out[:size]
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` (text, ..) with its text replaced by score and evidence (doc_ids of the nearest examples)."""
-    others = [c for c in docs.columns if c != "text"]
+    others = [c for c in docs.columns if c not in ("text", "score", "evidence")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*others).schema.fields), "score double, evidence array<bigint>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -311,6 +311,81 @@ def test_toxicity_learns_words_and_explains(spark):
     assert toxicity.score(probe.limit(0).select("text"), model).count() == 0
 
 
+def test_toxicity_equals_brute_force_over_texts(spark):
+    """Weights, cosines, neighbours and shares anew from the texts, by plain loops and a dense product."""
+    import re
+    from collections import Counter
+
+    sf = SMALL.replace("0.001", "0.01")
+    df, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet").where(queries.fold(5) != 0)
+    model = toxicity.train(df, labels)
+    texts = {r["doc_id"]: r["text"] for r in df.select("doc_id", "text").collect()}
+    label = {r["doc_id"]: r["toxic"] for r in labels.collect() if r["toxic"] is not None and texts.get(r["doc_id"]) is not None}
+    words = lambda t: Counter(w for w in re.split(r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").lower()) if w)
+    counts = {i: words(t) for i, t in texts.items()}
+    vocabulary = sorted({w for i in label for w in counts[i]})
+    at, n = {w: k for k, w in enumerate(vocabulary)}, len(label)
+    df_, a, b = (np.zeros(len(vocabulary)) for _ in range(3))
+    for i, c in counts.items():
+        known = [at[w] for w in c if w in at]
+        df_[known] += 1
+        if i in label:
+            (a if label[i] else b)[known] += 1
+    n1 = sum(label.values())
+    n0 = n - n1
+    phi = np.abs(a * n0 - b * n1) / np.sqrt((a + b) * np.maximum(n - a - b, 1) * n0 * n1)
+    weight = (np.log((1 + len(texts)) / (1 + df_)) + 1) * (toxicity.FLOOR + phi)
+
+    def vector(c):
+        x = np.zeros(len(vocabulary))
+        for w, k in c.items():
+            if w in at:
+                x[at[w]] = (1 + np.log(k)) * weight[at[w]]
+        return x / max(np.linalg.norm(x), 1e-300)
+
+    examples = sorted(i for i in label if counts[i])
+    matrix, ys = np.stack([vector(counts[i]) for i in examples]), np.array([label[i] for i in examples])
+    got = {r["doc_id"]: r for r in toxicity.score(df.select("doc_id", "text"), model).collect()}
+    assert len(got) == len(texts)
+    scores = {1: 1.0, 0: 1.0}  # all labels are in the sample
+    for i, c in counts.items():
+        cosines = matrix @ vector(c)
+        if not (cosines > 0).any():
+            assert got[i]["evidence"] == [] and got[i]["score"] == pytest.approx(n1 / n)
+            continue
+        assert got[i]["evidence"]
+        # equal example texts are one entry with all their votes
+        entries = {}
+        for j, e in enumerate(examples):
+            key = tuple(sorted(counts[e].items()))
+            entry = entries.setdefault(key, [cosines[j], 0.0, 0.0])
+            entry[2 - ys[j]] += scores[int(ys[j])]
+        ranked = sorted(entries.values(), key=lambda e: -e[0])
+        ranked = [e for e in ranked if e[0] > 0]
+        top, rest = ranked[: toxicity.NEAREST], ranked[toxicity.NEAREST :]
+        if rest and top[-1][0] - rest[0][0] < 1e-9:
+            continue  # a tie at the end
+        for_, against = (sum(min(e[0], 1) ** toxicity.POWER * e[k] for e in top) for k in (1, 2))
+        shrink = toxicity.PRIOR * min(e[1] + e[2] for e in entries.values()) * top[0][0] ** toxicity.POWER
+        share = (for_ + shrink * n1 / n) / (for_ + against + shrink)
+        want = 1 / (1 + np.exp(-np.clip(model.curve[0] + model.curve[1] * np.log(share / (1 - share)), -30, 30)))
+        assert got[i]["score"] == pytest.approx(want, abs=1e-6)
+
+
+def test_toxicity_of_clashing_columns_repeats_ties_and_long_texts(spark):
+    texts = ["bad word here", "bad word here", "good word here", "good word there", None, "", "one two"]
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 0), (3, 0), (6, 1), (6, None), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.train(docs(spark, texts), labels)
+    rows = [(i, t, 5, "e", 1) for i, t in enumerate([*texts, "good word here " * 200_000, "zz", "bad word here"])]
+    probe = spark.createDataFrame(rows, "doc_id long, text string, score int, evidence string, label int")
+    out = toxicity.score(probe, model)
+    assert out.columns == ["doc_id", "label", "score", "evidence"]
+    got = out.orderBy("doc_id").collect()
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 and r["label"] == 1 for r in got)
+    assert got[0]["score"] == got[1]["score"] == got[9]["score"] and got[4]["score"] == got[5]["score"] == got[8]["score"]
+    assert [bool(r["evidence"]) for r in got] == [True] * 4 + [False] * 2 + [True] * 2 + [False, True]
+
+
 # Quality
 
 
