@@ -5,12 +5,14 @@ dictionary gives the fewest bytes wins. Blocks keep a long text from becoming it
 winner's share of ``2 ** (-bits / temper)``; an answer is ``rejected`` where the runner-up comes within ``margin`` of it,
 or where there is no letter.
 
-A dictionary is the letters of at most ``DICTIONARY`` bytes of labelled texts, drawn by a hash of the text: the sample is
-bounded, the counts behind it and the prediction cover everything.
+A dictionary is at most ``DICTIONARY`` bytes of letters of labelled texts. About ``SAMPLE`` distinct texts of a language are
+drawn by a hash of the text, and from each a run of ``PIECE`` letters that starts anywhere in it: this sample is bounded, the
+counts behind it and the prediction cover everything.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and rejected; equal sizes go to the language
 with more learned documents, then the smaller name; rows are predicted one by one, repeated ones alike; without any learned
-language all is ``und``; an empty table gives no rows; other columns are ignored, or kept by ``keep_identified``.
+language all is ``und``; an empty table gives no rows; other columns are kept, those named like a result are replaced by it in
+``identify`` and kept by ``keep_identified``.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 DICTIONARY, BLOCK = 1 << 16, 4096
 SAMPLE = 400  # distinct texts of a language, about
-PIECE = 2000  # characters of a text that a dictionary may take
+PIECE = 2000  # characters of a text that a dictionary may take, from a place that a hash of the text draws
 TEMPER, MARGIN = 16.0, 0.004
 PREDICTED = "lang_pred string, score double, rejected boolean"
 
@@ -39,8 +41,9 @@ def train_dictionaries(labelled: DataFrame, sample: int = SAMPLE, size: int = DI
     # copies of a text are drawn together, so the rate is that of distinct texts
     counts = known.groupBy("lang", F.xxhash64("text")).count().groupBy("lang").agg(F.sum("count").alias("count"), F.count("*").alias("texts"))
     rates = counts.select(F.col("lang").alias("of"), "count", (F.lit(float(sample)) / F.col("texts")).alias("rate"))
-    some = known.join(F.broadcast(rates), F.col("lang") == F.col("of")).where("x < rate")  # languages are few
-    pieces = some.groupBy("lang").agg(F.max("count").alias("n"), F.array_sort(F.collect_set(F.struct("x", F.substring(letters(F.col("text")), 1, PIECE).alias("t")))).alias("s"))
+    some = known.join(F.broadcast(rates), F.col("lang") == F.col("of")).where("x < rate").select("lang", "count", "x", letters(F.col("text")).alias("t"))  # languages are few
+    start = F.pmod(F.xxhash64("t", F.lit(1)), F.greatest(F.length("t") - PIECE, F.lit(0)) + 1) + 1
+    pieces = some.groupBy("lang").agg(F.max("count").alias("n"), F.array_sort(F.collect_set(F.struct("x", F.substr(F.col("t"), start.cast("int"), F.lit(PIECE)).alias("t")))).alias("s"))
     rows = pieces.select("lang", "n", F.substring(F.array_join(F.transform("s", lambda s: s["t"]), " "), 1, size).alias("d")).collect()
     return [(r["lang"], r["d"].encode()[-size:]) for r in sorted(rows, key=lambda r: (-r["n"], r["lang"])) if r["d"].strip()]
 
@@ -73,7 +76,7 @@ def _predictor(dictionaries: list[tuple[str, bytes]], temper: float, margin: flo
 
 def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], temper: float = TEMPER, margin: float = MARGIN) -> DataFrame:
     """``docs`` (text, ..) with its text replaced by lang_pred, score and rejected."""
-    others = [c for c in docs.columns if c != "text"]
+    others = [c for c in docs.columns if c not in ("text", "lang_pred", "score", "rejected")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*others).schema.fields), PREDICTED])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,5 +92,7 @@ def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], temper: flo
 
 def keep_identified(docs: DataFrame, dictionaries: list[tuple[str, bytes]]) -> DataFrame:
     """The rows of ``docs`` whose language is identified, with all their columns."""
-    numbered = docs.withColumn("__text", F.col("text"))
-    return identify(numbered, dictionaries).where("not rejected").withColumnRenamed("__text", "text").select(*docs.columns)
+    names = [f"__{k}" for k in range(len(docs.columns))]  # whatever a column is called, it can't clash
+    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)], F.col("text"))
+    kept = identify(plain, dictionaries).where("not rejected")
+    return kept.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])

@@ -257,6 +257,42 @@ def test_language_of_odd_texts(spark):
     assert language.identify(docs(spark, texts).limit(0).select("text"), dictionaries).count() == 0
 
 
+def test_language_equals_brute_force_by_the_compressor(spark):
+    """Sizes anew with the zstandard library, text by text, from the same dictionaries."""
+    import re
+
+    import zstandard
+
+    sf = SMALL.replace("0.001", "0.01")
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    dictionaries = language.train_dictionaries(df.where(queries.fold(3) != 1))
+    options = {"min_match": 3, "strategy": zstandard.STRATEGY_GREEDY, "window_log": 17, "hash_log": 16, "chain_log": 16, "search_log": 4, "target_length": 32, "write_content_size": 0, "write_dict_id": 0}
+    how = zstandard.ZstdCompressionParameters(**options)
+    coders = [(n, zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how)) for n, d in dictionaries]
+    runs = re.compile(r"[^\W\d_]+")
+    want = {}
+    for r in df.select("doc_id", "text").collect():
+        data = " ".join(runs.findall((r["text"] or "").lower())).encode()
+        sizes = [(sum(len(c.compress(data[i : i + language.BLOCK])) for i in range(0, len(data), language.BLOCK)), k, n) for k, (n, c) in enumerate(coders)]
+        want[r["doc_id"]] = min(sizes)[2] if data else "und"
+    got = {r["doc_id"]: r["lang_pred"] for r in queries.op10_language_id(spark, sf).collect()}
+    assert got.keys() == want.keys() and sum(got[i] != want[i] for i in want) == 0
+
+
+def test_language_of_clashing_columns_repeats_and_ties(spark):
+    texts = ["the water and the house", "the water and the house", "la maison et le jardin", None]
+    rows = [(i % 2, t, 5, "x", True, "y") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, rejected int, lang_pred string, score boolean, __text string")
+    dictionaries = [("en", b"the and of water house " * 9), ("fr", b"la le et maison jardin " * 9)]
+    kept = language.keep_identified(df, dictionaries)
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect()), key=str) == sorted(rows[:3], key=str)
+    out = language.identify(df.select("doc_id", "text", "score"), dictionaries)
+    assert out.columns == ["doc_id", "lang_pred", "score", "rejected"] and sorted(r["lang_pred"] for r in out.collect()) == ["en", "en", "fr", "und"]
+    same = [("b", dictionaries[0][1]), ("a", dictionaries[0][1])]
+    tie = language.identify(df.select("text").limit(1), same).first()
+    assert tie["lang_pred"] == "b" and tie["rejected"]  # of equal sizes the first listed, that of more documents, and a narrow margin
+
+
 # Toxicity
 
 
