@@ -4,7 +4,8 @@ Two character Markov models, of random strings and of ordinary identifiers, are
 with add-one smoothing. A token whose log-likelihood ratio between the two is high is a secret.
 
 The labelled samples are bounded: ``n_random`` strings in several alphabets cut from hashes of a counter, and as ordinary
-ones ``IDENTIFIERS`` in the usual spellings and the words of about ``n_docs`` documents, drawn by a hash of their text. The scan itself covers every character of every text.
+ones ``IDENTIFIERS`` in the usual spellings and the words of about ``n_docs`` documents, drawn by a hash of their text and read
+whole. The scan itself covers every character of every text.
 
 Positions come from ``\\G(.*?)pattern``, which yields each match with the gap before it; running sums of both lengths over
 a document's matches are its places in code points.
@@ -44,7 +45,7 @@ IDENTIFIERS = (
 ).split()
 
 
-def train_model(docs: DataFrame, n_random: int = 3000, n_docs: int = 1000, cut: int = 4000) -> list[float]:
+def train_model(docs: DataFrame, n_random: int = 3000, n_docs: int = 1000) -> list[float]:
     """Log-likelihood ratio of every pair of characters, a row of ``ALPHABET`` after the other. Collects one number a pair."""
     spark = docs.sparkSession
     digest = lambda salt: F.sha2(F.concat(F.lit(salt), F.col("id").cast("string")), 256)
@@ -61,7 +62,7 @@ def train_model(docs: DataFrame, n_random: int = 3000, n_docs: int = 1000, cut:
     )).alias("s"))
     rate = min(1.0, n_docs / max(1, docs.count()))
     some = docs.where("text is not null").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < rate * (1 << 30)).select("text")
-    words = some.select(F.explode_outer(F.regexp_extract_all(F.substring("text", 1, cut), F.lit(r"[A-Za-z_/-]{2,15}"), F.lit(0))).alias("s")).where("s is not null")
+    words = some.select(F.explode_outer(F.regexp_extract_all("text", F.lit(r"[A-Za-z_/-]{2,15}"), F.lit(0))).alias("s")).where("s is not null")
     both = random.select("s", F.lit(1).alias("y")).unionByName(plain.unionByName(words).select("s", F.lit(0).alias("y")))
     both = both.where(F.length("s") > 1).select("y", F.explode(F.transform(F.sequence(F.lit(1), F.length("s") - 1), lambda i: F.substring("s", i, 2))).alias("pair"))
     n = len(ALPHABET)

@@ -128,6 +128,103 @@ def test_random_strings_joined_to_words_are_found(spark):
     assert not any(got[len(texts) + i] for i in range(len(plain)))
 
 
+def test_random_strings_of_unseen_kinds(spark):
+    """Kinds of strings that the labelled samples don't have, with the model of the driver's small documents."""
+    import base64
+    import uuid
+
+    rng = random.Random(11)
+    raw = lambda n: bytes(rng.randrange(256) for _ in range(n))
+    base62 = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    base58 = "".join(c for c in base62 if c not in "0OIl")
+    base32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    drawn = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    secret = [base64.urlsafe_b64encode(raw(33)).decode() for _ in range(50)] + [drawn(base58, 32) for _ in range(50)] + [drawn(base32, 32) for _ in range(50)] + [drawn(base62, 40) for _ in range(50)]
+    secret += ["gk_live_" + drawn(base62, 30) for _ in range(50)] + [uuid.UUID(bytes=raw(16)).hex.upper() for _ in range(50)]
+    word = "river stone cloud bread window garden letter music market border engine signal captain forest island".split()
+    german = "haus tür schiff fahrt gesell schaft haupt bahn hof ver sicherung straßen bau amt".replace("ü", "ue").replace("ß", "ss").split()
+    path = lambda: "/" + "/".join(rng.choice(word) for _ in range(5))
+    camel = lambda: "".join(rng.choice(word).capitalize() for _ in range(4))
+    compound = lambda: "".join(rng.choice(german) for _ in range(5)).capitalize()
+    slug = lambda: "-".join(rng.choice(word) for _ in range(4)) + f"-{rng.randrange(2000, 2030)}"
+    plain = [f() for f in (path, camel, compound, slug) for _ in range(50)]
+    got = {r["doc_id"]: r["spans"] for r in scan_secrets(docs(spark, [f"see {t} there" for t in secret + plain]), train_model(docs(spark, ["some ordinary words of a document that goes on"]))).collect()}
+    found = [any(s["kind"] == "random" for s in got[i]) for i in range(len(secret + plain))]
+    assert sum(found[: len(secret)]) >= 0.95 * len(secret)
+    assert sum(found[len(secret) :]) <= 0.02 * len(plain)
+
+
+def test_secrets_of_long_texts_ties_and_clashing_columns(spark):
+    text = "plain words " * 100_000 + "password=abcdefghijkl " + "mots simples " * 100_000
+    df = spark.createDataFrame([(1, text, 3, "m", "k"), (1, text, 3, "m", "k"), (None, "deadbeefdeadbeef", 4, "n", "l")], "doc_id long, text string, spans int, kind string, rid string")
+    got = scan_secrets(df, train_model(df)).collect()
+    start = len("plain words ") * 100_000
+    fixed = sorted((str(r["doc_id"]), [(s["start"], s["kind"], s["stop"]) for s in r["spans"] if s["kind"] != "random"]) for r in got)
+    assert fixed == [("1", [(start, "assign", start + 21)])] * 2 + [("None", [(0, "hex", 16)])]
+    out = redact_secrets(df)
+    assert out.columns == df.columns and sorted(len(r["text"]) for r in out.collect()) == sorted([len("<secret>"), len(text) - 21 + 8, len(text) - 21 + 8])
+
+
+def contract_spans(text):
+    """The base spans by a scanner of its own: no pattern of the operator, character by character."""
+    text, out = text or "", []
+    space, quote = " ", "\"'"
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    i = 0
+    while i < len(text):
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if text[i : i + len(name)].translate(LOWER) != name:
+                continue
+            j = i + len(name)
+            j += j < len(text) and text[j] in quote
+            while j < len(text) and text[j] == space:
+                j += 1
+            if j >= len(text) or text[j] not in ":=":
+                continue
+            # what follows the sign: spaces and a quote, or the value at once (a sign may belong to the value)
+            k = j + 1
+            while k < len(text) and text[k] == space:
+                k += 1
+            k += k < len(text) and text[k] in quote
+            end = k
+            while end < len(text) and text[end] in value:
+                end += 1
+            if end > k:
+                if end - k >= 12:
+                    out.append((i, "assign", end))
+                i = end - 1
+                break
+        i += 1
+    for kind, head, body, least in (("access", "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 18), ("hex", "", set("0123456789abcdef"), 16)):
+        i = 0
+        while i < len(text):
+            j = i + len(head)
+            while text[i:].startswith(head, 0, len(head)) and j < len(text) and text[j] in body:
+                j += 1
+            if text[i : i + len(head)] == head and j > i + len(head):
+                if j - i >= least:
+                    out.append((i, kind, j))
+                i = j
+            else:
+                i += 1
+    order = ("assign", "access", "hex")
+    return sorted(out, key=lambda s: (s[0], order.index(s[1])))
+
+
+def test_secret_query_equals_a_scanner_of_its_own(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    got = queries.op2_secret_scan(spark, sf).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(texts)
+    for r in got:
+        base = contract_spans(texts[r["doc_id"]])
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(s[1] == k for s in base) for k in ("assign", "access", "hex"))
+        said = ",".join(f"{k}:{a}:{b}" for a, k, b in base)
+        assert r["base_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+        every = [s for s in r["spans"].split(",") if s]
+        assert [s for s in every if not s.startswith("random")] == [s for s in said.split(",") if s]
+
+
 def test_redaction(spark):
     df = docs(spark, SECRETS)
     out = {r["doc_id"]: r for r in redact_secrets(df).collect()}
