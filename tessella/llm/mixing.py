@@ -5,12 +5,14 @@ its documents: the whole part is allocated as certain copies, the rest is an inc
 by ``odds(U) / odds(inclusion)`` with a hash for the random U (Rosen's Pareto order sampling) and taken in that order up
 to the words that are missing: a sample of fixed size, in words, with unequal probabilities. The cut-off is found by
 three passes of a 1024-bin histogram for all sources at once, never by sorting a source, so a source that holds a third
-of all rows costs no more than its share. One closing document per source, the one whose size is nearest to what is then
-still missing, brings the sum near the target.
+of all rows costs no more than its share. Where the last bin of a source holds several rows of one rank (repeated or null
+ids), as many passes over a hash of their texts, and then over a number of the row, go on within it. One closing row per
+source, the one whose size is nearest to what is then still missing, brings the sum near the target.
 
 Defined cases: null or empty text has size 0 and is never taken; a null source is a source of its own, ordered last;
-an empty table gives no rows; repeated rows are ranked by id and text and equal rows share their fate except as closing
-document, where all of them would have to fit; extra columns are ignored or, with ``keep``, carried through.
+an empty table gives no rows; rows of one id, or of none, are ranked by text, and equal rows by a number of their own, so
+that any part of them can be taken; which of equal rows it is makes no difference to the columns returned; extra columns
+are ignored or, with ``keep``, carried through.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 from tessella.llm.common import TOKEN, broadcast_if, discard, materialize
 
 BINS, LEVELS = 1024, 3
+#: What rows are ranked by, the later ones among those that the earlier ones leave together.
+RANKS = ("place", "v", "w")
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -58,42 +62,65 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     Up to ``source_limit`` sources their table is broadcast (its rows are counted), above it the joins shuffle.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    sized = materialize(docs.select("doc_id", "source", F.regexp_count(text, F.lit(TOKEN)).cast("long").alias("size"), uniform("doc_id", seed=seed).alias("u"), *keep), "mix")
+    sized = docs.select(
+        "doc_id", "source", F.regexp_count(text, F.lit(TOKEN)).cast("long").alias("size"), uniform("doc_id", seed=seed).alias("u"),
+        _unit(F.xxhash64(text)).alias("v"), F.monotonically_increasing_id().alias("rid"), *keep,
+    )
+    sized = materialize(sized.withColumn("w", _unit(F.xxhash64("rid"))), "mix")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     state = source_targets(sources, weights, share, cap).withColumn("certain", F.floor(ratio).cast("long"))
     state = state.withColumn("odd", ratio - F.col("certain"))
-    state = state.select("*", (F.col("target") - F.col("certain") * F.col("source_size")).alias("need"), F.lit(0.0).alias("lo"), F.lit(0).cast("long").alias("got"))
+    state = state.select("*", (F.col("target") - F.col("certain") * F.col("source_size")).alias("need"), *[F.lit(0.0).alias(f"lo_{k}") for k in RANKS], F.lit(0).cast("long").alias("got"))
     state = materialize(state, "mix-targets")
     # Monotone in odds(U) / odds(inclusion), and in [0, 1): x / (1 + x)
     x = (F.col("u") / (1 - F.col("u"))) / (F.col("odd") / (1 - F.col("odd")))
     place = F.when(F.col("odd") > 0, x / (1 + x)).otherwise(1.0)
-    joined = lambda s: sized.join(broadcast_if(s.withColumnRenamed("source", "of"), source_limit), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    width = 1.0
-    for level in range(LEVELS):
-        inside = joined(state).withColumn("place", place).where((F.col("odd") > 0) & (F.col("size") > 0) & (F.col("place") >= F.col("lo")) & (F.col("place") < F.col("lo") + width))
-        bins = inside.withColumn("bin", F.least(F.floor((F.col("place") - F.col("lo")) / (width / BINS)), F.lit(BINS - 1)))
-        bins = bins.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("need").alias("need"), F.first("got").alias("got"))
-        up_to = Window.partitionBy("source").orderBy("bin")
-        bins = bins.withColumn("sum", F.col("got") + F.sum("words").over(up_to))
-        cut = bins.where(F.col("sum") >= F.col("need")).groupBy("source").agg(F.min_by(F.struct("bin", (F.col("sum") - F.col("words")).alias("got")), "bin").alias("cut"))
-        cut = cut.select(F.col("source").alias("of"), "cut")
-        old = state
-        state = old.join(cut, F.col("source").eqNullSafe(F.col("of")), "left").select(
-            "source", "source_size", "target", "certain", "odd", "need",
-            F.when(F.col("cut").isNotNull(), F.col("lo") + F.col("cut.bin") * (width / BINS)).otherwise(F.col("lo")).alias("lo"),
-            F.coalesce("cut.got", "got").alias("got"),
-        )
-        state = materialize(state, f"mix-cut{level}")
-        discard(old)
-        width /= BINS
-    ranked = joined(state).withColumn("place", place)
-    below = (F.col("odd") > 0) & (F.col("size") > 0) & (F.col("place") < F.col("lo"))
-    left = ranked.where((F.col("odd") > 0) & (F.col("size") > 0) & (F.col("place") >= F.col("lo")))
+    joined = lambda s: sized.join(broadcast_if(s.withColumnRenamed("source", "of"), source_limit), F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("place", place).where("size > 0 and odd > 0")
+    last = 1.0 / BINS**LEVELS
+    in_bin = lambda k, width: (F.col(k) >= F.col(f"lo_{k}")) & (F.col(k) < F.col(f"lo_{k}") + width)
+    used: list[str] = []
+    for rank in RANKS:
+        earlier = F.lit(True)
+        for k in used:
+            earlier = earlier & in_bin(k, last)
+        if used and not joined(state).where(earlier).groupBy("source", used[-1]).count().where("count > 1").take(1):
+            break  # no tie in a source's last bin
+        used.append(rank)
+        for level in range(LEVELS):
+            state = _narrowed(joined(state).where(earlier), state, rank, 1.0 / BINS**level)
     gap = F.col("need") - F.col("got")
-    closing = left.groupBy("source").agg(F.min(F.struct(F.abs(gap - F.col("size")).alias("off"), "place", "doc_id", gap.alias("gap"))).alias("end"))
-    closing = materialize(closing.where("end.off < end.gap").select(F.col("source").alias("end_source"), F.col("end.place").alias("end_place"), F.col("end.doc_id").alias("end_id")), "mix-end")
-    out = ranked.join(broadcast_if(closing, source_limit), F.col("source").eqNullSafe(F.col("end_source")), "left")
-    ends = F.coalesce((F.col("place") == F.col("end_place")) & F.col("doc_id").eqNullSafe(F.col("end_id")) & (F.col("size") > 0), F.lit(False))
-    out = out.withColumn("copies", F.when(F.col("size") > 0, F.col("certain") + (below | ends).cast("long")).otherwise(0).cast("long"))
+    # taken: of smaller rank, or in the last bin of one rank and of smaller next rank
+    below, inside = F.lit(False), F.lit(True)
+    for k in used:
+        below = below | (inside & (F.col(k) < F.col(f"lo_{k}")))
+        inside = inside & in_bin(k, last)
+    left = joined(state).where(~below)
+    closing = left.groupBy("source").agg(F.min(F.struct(F.abs(gap - F.col("size")).alias("off"), "place", "doc_id", "v", "w", "rid", gap.alias("gap"))).alias("end"))
+    closing = materialize(closing.where("end.off < end.gap").select(F.col("end.rid").alias("end_rid")), "mix-end")
+    out = sized.join(broadcast_if(state.withColumnRenamed("source", "of"), source_limit), F.col("source").eqNullSafe(F.col("of"))).withColumn("place", place)
+    out = out.join(broadcast_if(closing, source_limit), F.col("rid") == F.col("end_rid"), "left")
+    more = (F.col("odd") > 0) & (below | F.col("end_rid").isNotNull())
+    out = out.withColumn("copies", F.when(F.col("size") > 0, F.col("certain") + more.cast("long")).otherwise(0).cast("long"))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), *keep)
+
+
+def _unit(number):
+    """A long as a number in [0, 1)."""
+    return F.pmod(number, F.lit(1 << 50)) / float(1 << 50)
+
+
+def _narrowed(rows: DataFrame, state: DataFrame, rank: str, width: float) -> DataFrame:
+    """``state`` with each source's bin of ``rank`` narrowed to the ``1 / BINS`` of it in which its cut-off lies."""
+    lo, step = f"lo_{rank}", width / BINS
+    inside = rows.where((F.col(rank) >= F.col(lo)) & (F.col(rank) < F.col(lo) + width))
+    bins = inside.withColumn("bin", F.least(F.floor((F.col(rank) - F.col(lo)) / step), F.lit(BINS - 1)))
+    bins = bins.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("need").alias("need"), F.first("got").alias("got"))
+    bins = bins.withColumn("sum", F.col("got") + F.sum("words").over(Window.partitionBy("source").orderBy("bin")))
+    cut = bins.where(F.col("sum") >= F.col("need")).groupBy("source").agg(F.min_by(F.struct("bin", (F.col("sum") - F.col("words")).alias("got")), "bin").alias("cut"))
+    cut = cut.select(F.col("source").alias("of"), "cut")
+    out = state.join(cut, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+    out = out.withColumn(lo, F.when(F.col("cut").isNotNull(), F.col(lo) + F.col("cut.bin") * step).otherwise(F.col(lo))).withColumn("got", F.coalesce("cut.got", "got"))
+    out = materialize(out.drop("cut"), "mix-cut")
+    discard(state)
+    return out
