@@ -50,11 +50,16 @@ class Boosted:
         return self
 
     def margin(self, x: np.ndarray) -> np.ndarray:
-        b, rows = self._binned(x), np.arange(len(x))
-        out = np.full(len(x), self.start)
+        used, columns = np.unique(self.features, return_inverse=True)
+        features = columns.reshape(self.features.shape)
+        b = np.stack([np.searchsorted(self.edges[j], x[:, j], "left") for j in used], axis=1).astype(np.uint8)
+        # rows that fall into the same bins go the same way
+        _, first, again = np.unique(b.view(np.dtype((np.void, b.shape[1]))).ravel(), return_index=True, return_inverse=True)
+        b = b[first].ravel()
+        rows, out = np.arange(len(first)) * len(used), np.full(len(first), self.start)
         for t in range(self.trees):
-            node = np.ones(len(x), np.int64)
+            node = np.ones(len(first), np.int64)
             for _ in range(self.depth):
-                node = 2 * node + (b[rows, self.features[t, node]] > self.cuts[t, node])
+                node = 2 * node + (b[rows + features[t, node]] > self.cuts[t, node])
             out += self.leaves[t, node - 2**self.depth]
-        return out
+        return out[again.ravel()]

@@ -11,12 +11,14 @@ in semantic tags and in plain boxes, with menus, headers, footers, sidebars, not
 around and inside them. The sample is bounded by its parameter; extraction covers every character of every page.
 
 Defined cases: null or empty html gives empty text; text outside any tag is a block of the page; repeated rows are extracted one
-by one; an empty table gives no rows; other columns are ignored.
+by one; an empty table gives no rows; other columns are kept, one named ``text`` is replaced. A ``<`` that starts no complete
+tag is text. Work and memory grow with a page's length and no faster, whatever it holds.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
 from html import unescape
@@ -56,10 +58,113 @@ TOKENS = {
 _GROUP = {token: g for g, tokens in enumerate(TOKENS.values()) for token in tokens.split()}
 #: Groups of tags.
 TAGS = {t: g for g, names in enumerate(["html body", "article main", "section div center", "nav menu", "header hgroup", "footer", "aside", "form fieldset button legend option optgroup dialog", "p pre blockquote", "h1", "h2 h3 h4 h5 h6", "ul ol dl dir", "li dt dd", "table tbody thead tfoot tr", "td th caption", "figure figcaption", "a", "#text"]) for t in names.split()}
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _TOKEN = re.compile(r"[a-zA-Z][a-z]*|[A-Z]+")
 _SENTENCE = re.compile(r"[.!?](?:\s|$)")
+#: Elements that shield an open paragraph from a block within them.
+SHIELDS = ("td", "th", "li", "div", "button")
+_LONG_NUMBER = re.compile(r"&#[0-9]{4000,};?")
+
+
+def _unescaped(text: str) -> str:
+    try:
+        return unescape(text)
+    except ValueError:  # a character number of thousands of digits
+        return unescape(_LONG_NUMBER.sub("\ufffd", text))
+
+
+class _Next:
+    """Where a pattern is found next; asking at rising places costs one pass over the text."""
+
+    def __init__(self, pattern: str, text: str):
+        self.search, self.text, self.start, self.at = re.compile(pattern).search, text, 0, -1
+
+    def __call__(self, start: int) -> int:
+        """The first place from ``start`` on, or the text's length."""
+        if not self.start <= start <= self.at:
+            found = self.search(self.text, start)
+            self.start, self.at = start, found.start() if found else len(self.text)
+        return self.at
+
+
+class Tags:
+    """The tags of a page in one forward pass: what fails to be one is text, and is remembered so that no later try repeats it."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.opening, self.name_end, self.special = _Next("<[!?/a-zA-Z]", html), _Next(r"[\s/>]", html), _Next("[>\"']", html)
+        self.close = _Next(">", html)
+        self.failed: set[int] = set()  # quotes and ends from which no end of a tag can be reached
+
+    def _end(self, at: int) -> int:
+        """Behind the ``>`` that ends a tag whose attributes start at ``at``, quoted ones skipped; -1 if there is none."""
+        visited = []
+        while True:
+            at = self.special(at)
+            if at == len(self.html) or at in self.failed:
+                break
+            if self.html[at] == ">":
+                return at + 1
+            visited.append(at)
+            other = self.html.find(self.html[at], at + 1)
+            if other < 0:
+                break
+            at = other + 1
+        self.failed.update(visited)
+        return -1
+
+    def next(self, at: int) -> tuple[int, int, bool, str, int]:
+        """(start, end, closes, name, where attributes start) of the next tag or markup from ``at`` on; name is empty for markup
+        without one, and start is the length of the page if there is nothing more."""
+        html, size = self.html, len(self.html)
+        while (start := self.opening(at)) < size:
+            kind = html[start + 1]
+            if kind in "!?":
+                for head, tail in (("<!--", "-->"), ("<![CDATA[", "]]>")):
+                    if html.startswith(head, start):
+                        end = html.find(tail, start + len(head))
+                        return start, size if end < 0 else end + len(tail), False, "", 0
+                if (end := self.close(start)) < size:
+                    return start, end + 1, False, "", 0
+            else:
+                first = start + 1 + (kind == "/")
+                if first < size and html[first].isascii() and html[first].isalpha():
+                    stop = self.name_end(first)
+                    if (end := self._end(stop)) >= 0:
+                        return start, end, kind == "/", html[first:stop].lower(), stop
+            at = start + 1
+        return size, size, False, "", 0
+
+
+class _Open:
+    """The open block elements, with the places of each name."""
+
+    def __init__(self):
+        self.nodes, self.names, self.places = [0], ["html"], {"html": [0]}
+
+    def push(self, name: str, node: int) -> None:
+        self.places.setdefault(name, []).append(len(self.names))
+        self.nodes.append(node)
+        self.names.append(name)
+
+    def cut(self, at: int) -> None:
+        """Closes all from place ``at`` on."""
+        for name in self.names[at:]:
+            self.places[name].pop()
+        del self.nodes[at:], self.names[at:]
+
+    def last(self, *names: str) -> int:
+        """Place of the innermost open element of these names, 0 if there is none (the root's)."""
+        best = 0
+        for n in names:
+            if (p := self.places.get(n)) and p[-1] > best:
+                best = p[-1]
+        return best
+
+    def first_after(self, at: int, names: set[str]) -> int | None:
+        """Place of the outermost open element of these names behind place ``at``."""
+        found = [p[k] for n in names if (p := self.places.get(n)) and (k := bisect_right(p, at)) < len(p)]
+        return min(found, default=None)
 
 
 class Page:
@@ -67,77 +172,62 @@ class Page:
 
     def __init__(self, html: str):
         self.tag, self.parent, self.groups, self.text, self.linked = ["html"], [-1], [0], [""], [0]
-        stack = [0]  # open block elements
         self.pieces: list[str] = []
         self.link_chars = 0
-        at, links = 0, 0
-        names = ["html"]
+        tags, opened, at, links = Tags(html), _Open(), 0, 0
+        unclosed: set[str] = set()  # dropped elements that don't end on the rest of the page
         while True:
-            found = _TAG.search(html, at)
-            upto = found.start() if found else len(html)
-            if upto > at:
-                piece = unescape(html[at:upto])
+            start, end, closes, name, attributes = tags.next(at)
+            if start > at:
+                piece = _unescaped(html[at:start])
                 self.pieces.append(piece)
                 if links:
                     self.link_chars += len(piece.strip())
-            if not found:
+            if start == len(html):
                 break
-            at = found.end()
-            name = (found[2] or "").lower()
+            at = end
             if not name:
                 continue
-            if found[1]:
+            if closes:
                 if name == "a":
                     links = max(0, links - 1)
-                elif name in names and name in BLOCK and name not in ("html", "body"):
-                    self._flush(stack[-1])
-                    while True:
-                        stack.pop()
-                        if names.pop() == name:
-                            break
+                elif name in BLOCK and name not in ("html", "body") and (place := opened.last(name)):
+                    self._flush(opened.nodes[-1])
+                    opened.cut(place)
                     links = 0
                 continue
             if name in DROPPED:
-                end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
-                if end:
-                    at = end.end()
+                found = None if name in unclosed else re.compile(rf"</{name}\s*>", re.I).search(html, at)
+                if found:
+                    at = found.end()
                 elif name in ("script", "style", "textarea"):
                     at = len(html)
+                else:
+                    unclosed.add(name)
                 continue
             if name == "br":
                 self.pieces.append(" ")
             elif name == "hr":
-                self._flush(stack[-1])
+                self._flush(opened.nodes[-1])
             elif name == "a":
                 links = 1
             elif name in BLOCK:
                 if name in ("html", "body"):
                     continue  # one root stands for both
-                self._flush(stack[-1])
+                self._flush(opened.nodes[-1])
                 links = 0
-                if name in NO_PARAGRAPH and "p" in names:
-                    k = len(names) - 1
-                    while names[k] != "p" and names[k] not in ("td", "th", "li", "div", "button"):
-                        k -= 1
-                    if names[k] == "p":
-                        del stack[k:], names[k:]
-                if name in ENDS:
-                    k, cut = len(names) - 1, None
-                    while k > 0 and names[k] not in WALLS[name]:
-                        if names[k] in ENDS[name]:
-                            cut = k
-                        k -= 1
-                    if cut is not None:
-                        del stack[cut:], names[cut:]
+                if name in NO_PARAGRAPH and (place := opened.last("p")) and place > opened.last(*SHIELDS):
+                    opened.cut(place)
+                if name in ENDS and (place := opened.first_after(opened.last(*WALLS[name]), ENDS[name])):
+                    opened.cut(place)
                 groups = 0
-                for _, a, b, c in _ATTRIBUTE.findall(found[3]):
+                for _, a, b, c in _ATTRIBUTE.findall(html[attributes : end - 1]) if end - attributes > 6 else ():
                     for token in _TOKEN.findall(a or b or c):
                         g = _GROUP.get(token.lower())
                         if g is not None:
                             groups |= 1 << g
-                stack.append(self._add(name, stack[-1], groups))
-                names.append(name)
-        self._flush(stack[-1])
+                opened.push(name, self._add(name, opened.nodes[-1], groups))
+        self._flush(opened.nodes[-1])
 
     def _add(self, tag: str, parent: int, groups: int = 0) -> int:
         self.tag.append(tag)
@@ -148,6 +238,8 @@ class Page:
         return len(self.tag) - 1
 
     def _flush(self, parent: int) -> None:
+        if not self.pieces:
+            return
         text = " ".join("".join(self.pieces).split())
         if text:
             node = self._add("#text", parent)
@@ -156,6 +248,10 @@ class Page:
         self.pieces, self.link_chars = [], 0
 
     def features(self) -> np.ndarray:
+        return np.concatenate(list(self.feature_parts()))
+
+    def feature_parts(self, rows: int = 20_000) -> Iterator[np.ndarray]:
+        """The nodes' features, ``rows`` nodes at a time: a long page's whole matrix need not fit."""
         n = len(self.tag)
         parent = self.parent
         kind = [TAGS.get(t, 2) for t in self.tag]
@@ -189,18 +285,24 @@ class Page:
             if k is not None:
                 before[i], after[k] = chars[k], chars[i]
             last[parent[i]] = i
-        c, l, b, m, s, w = (np.array(v, float) for v in (chars, linked, blocks, nodes, sentences, words))
-        up = np.array(parent)
-        up[0] = 0
-        own, above, kinds, below = (np.array(v, np.int64) for v in (self.groups, above_groups, above_kinds, inside))
-        k = np.array(kind)
+        c, l, b, m, s, w, child = (np.array(v, float) for v in (chars, linked, blocks, nodes, sentences, words, children))
+        every = np.array(parent)
+        every[0] = 0
+        ints = [np.array(v, np.int64) for v in (self.groups, above_groups, above_kinds, inside, kind)]
+        floats = [np.array(v, float) for v in (depth, place, before, after)]
         bits = lambda v, size: (v[:, None] >> np.arange(size) & 1).astype(float)
-        numbers = np.stack([
-            np.log1p(c), l / np.maximum(c, 1), np.log1p(b), c / m, s / np.maximum(w, 1), np.log1p(w / np.maximum(b, 1)), np.array(depth, float), np.array(place, float) / np.maximum(np.array(children)[up], 1),
-            np.log1p(np.array(children, float)[up]), c / max(1.0, c[0]), np.log1p(np.array(before, float)), np.log1p(np.array(after, float)), np.log1p(c[up]), l[up] / np.maximum(c[up], 1),
-        ], axis=1)
         kinds_n = max(TAGS.values()) + 1
-        return np.concatenate([numbers, bits(own, len(TOKENS)), bits(above, len(TOKENS)), (k[:, None] == np.arange(kinds_n)).astype(float), (k[up][:, None] == np.arange(kinds_n)).astype(float), bits(kinds, kinds_n), bits(below, kinds_n)], axis=1)
+        one = lambda v: (v[:, None] == np.arange(kinds_n)).astype(float)
+        for start in range(0, n, rows):
+            at = slice(start, start + rows)
+            up = every[at]
+            own, above, kinds, below, k = (v[at] for v in ints)
+            deep, order, behind, ahead = (v[at] for v in floats)
+            numbers = np.stack([
+                np.log1p(c[at]), l[at] / np.maximum(c[at], 1), np.log1p(b[at]), c[at] / m[at], s[at] / np.maximum(w[at], 1), np.log1p(w[at] / np.maximum(b[at], 1)), deep, order / np.maximum(child[up], 1),
+                np.log1p(child[up]), c[at] / max(1.0, c[0]), np.log1p(behind), np.log1p(ahead), np.log1p(c[up]), l[up] / np.maximum(c[up], 1),
+            ], axis=1)
+            yield np.concatenate([numbers, bits(own, len(TOKENS)), bits(above, len(TOKENS)), one(k), one(ints[4][up]), bits(kinds, kinds_n), bits(below, kinds_n)], axis=1)
 
     def main_text(self, margin: np.ndarray) -> str:
         """The blocks of the best set of nodes that holds every node's parent."""
@@ -345,19 +447,38 @@ def train(n: int = PAGES, seed: int = SEED) -> Boosted:
     return Boosted().fit(np.concatenate(x), np.concatenate(y).astype(float))
 
 
-def main_texts(pages: list[str | None], trees: Boosted) -> list[str]:
-    parsed = [Page(p) if p else None for p in pages]
-    found = [p.features() for p in parsed if p is not None]
-    if not found:
-        return [""] * len(pages)
-    margins = iter(np.split(trees.margin(np.concatenate(found)), np.cumsum([len(f) for f in found])[:-1]))
-    return ["" if p is None else p.main_text(next(margins)) for p in parsed]
+def main_texts(pages: list[str | None], trees: Boosted, rows: int = 20_000) -> list[str]:
+    """The pages' texts; the trees are asked about some ``rows`` nodes at a time, of many short pages or a part of a long one."""
+    out, waiting, held = [""] * len(pages), [], 0
+
+    def decide() -> None:
+        sizes = [len(f) for _, _, parts in waiting for f in parts]
+        margins = iter(np.split(trees.margin(np.concatenate([f for _, _, parts in waiting for f in parts])), np.cumsum(sizes)[:-1]))
+        for at, page, parts in waiting:
+            out[at] = page.main_text(np.concatenate([next(margins) for _ in parts]))
+        waiting.clear()
+
+    for at, html in enumerate(pages):
+        if not html:
+            continue
+        page = Page(html)
+        if len(page.tag) > rows:
+            out[at] = page.main_text(np.concatenate([trees.margin(f) for f in page.feature_parts(rows)]))
+            continue
+        waiting.append((at, page, list(page.feature_parts(rows))))
+        held += len(page.tag)
+        if held > rows:
+            decide()
+            held = 0
+    if waiting:
+        decide()
+    return out
 
 
 def extract(pages: DataFrame, trees: Boosted | None = None, html: str = "html") -> DataFrame:
     """``pages`` with its column ``html`` replaced by ``text``."""
     trees = train() if trees is None else trees
-    others = [c for c in pages.columns if c != html]
+    others = [c for c in pages.columns if c not in (html, "text")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*others).schema.fields), "text string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

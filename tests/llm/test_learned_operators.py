@@ -504,6 +504,47 @@ def test_markup_details():
     assert text(deep) == ["deep"]
 
 
+@pytest.mark.parametrize("unit", ["<a '", "<a ", "<svg>", "<div>", "<a<", "<!", "</div ", "<p><section>", "<div><li></li>", "<b '\"", "<td><p>x", "<p class=' "])
+def test_long_odd_pages_take_linear_time(unit):
+    import time
+
+    trees, took = html.train(), []
+    for size in (250_000, 1_000_000):
+        began = time.process_time()
+        html.main_texts([unit * (size // len(unit))], trees)
+        took.append(time.process_time() - began)
+    assert took[1] < 8 and took[1] < 8 * max(took[0], 0.2)
+
+
+def test_tags_equal_a_pattern():
+    """The forward pass against one backtracking pattern, on soups of pieces."""
+    import re
+
+    pattern = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z](?>[^\s/>]*))((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+    rng = random.Random(4)
+    pieces = ["<p>", "</p>", "<div class='a b'>", "<a href=\"u>v\">", "<!-- c -->", "<!--", "<!x>", "<![CDATA[", "]]>", "<?", "text", " ", "<", "< 1", "<b", "'", '"', ">", "/", "=", "</", "<é>", "\n"]
+    for _ in range(3000):
+        page = "".join(rng.choice(pieces) for _ in range(rng.randrange(40)))
+        tags, at, got = html.Tags(page), 0, []
+        while True:
+            start, end, closes, name, _ = tags.next(at)
+            if start == len(page):
+                break
+            got.append((start, end, closes, name))
+            at = end
+        assert got == [(m.start(), m.end(), bool(m[1]), (m[2] or "").lower()) for m in pattern.finditer(page)]
+
+
+def test_pages_with_clashing_columns_repeats_and_long_ones(spark):
+    page = "<html><body><nav><a href='/'>menu</a></nav><article>" + "<p>Main words of the text go on, and on.</p>" * 30_000 + "</article></body></html>"
+    rows = [(1, page, "t", "u"), (1, page, "t", "u"), (None, "<p>x" + "&#" + "1" * 5000 + ";</p>", None, None), (3, None, "t", "u")]
+    df = spark.createDataFrame(rows, "page_id long, html string, text string, url string")
+    out = html.extract(df)
+    assert out.columns == ["page_id", "url", "text"]
+    got = {r["page_id"]: r["text"] for r in out.collect()}
+    assert got[1] == "\n".join(["Main words of the text go on, and on."] * 30_000) and got[3] == "" and out.count() == 4
+
+
 def test_no_pages(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
