@@ -42,8 +42,10 @@ def _own_folder() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A local folder serves only where the session names none (tests)."""
+    """The folder that driver and executors share. A local folder serves only a local session that names none (tests)."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (named or f"file://{_own_folder()}").rstrip("/")
 
 
@@ -70,28 +72,55 @@ def broadcast_if(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if len(df.select(F.lit(1)).take(limit + 1)) <= limit else df.hint("shuffle_merge")
 
 
-def connected_components(edges: DataFrame, tag: str = "cc", rounds: int = 60) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, key: str, by: str, counted: DataFrame | None = None, sizes: tuple[DataFrame, int] | None = None, how: str = "inner") -> DataFrame:
+    """``left`` joined (inner or left) with ``right`` on the column ``key`` of both, with hot keys of ``left`` dealt out.
+
+    A key is hot if it holds more than an even task's share of the rows, so there are fewer hot keys than tasks and their
+    list is broadcast. Its rows go to as many tasks as it has shares, by a hash of the column ``by``; ``right``'s rows of hot
+    keys are repeated for each, at most twice as many rows in all as there are tasks and hot rows of ``right``.
+    ``counted``: a cheaper table with the same rows' keys, which is read twice; ``sizes``, if known: rows (key, n) of all keys
+    that may be hot, and the number of all rows.
+    """
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if sizes is None:
+        counted = left if counted is None else counted
+        sizes = counted.groupBy(key).agg(F.count("*").alias("n")), counted.count()
+    known, total = sizes
+    known = known.select(F.col(key).alias("__key"), F.col("n").alias("__n")).where(F.col("__n") * tasks > total)
+    hot = F.broadcast(known.select("__key", F.ceil(F.col("__n") * tasks / total).cast("int").alias("__shares")))
+    shares = F.coalesce("__shares", F.lit(1))
+    one = left.join(hot, F.col(key) == F.col("__key"), "left").withColumn("__salt", F.pmod(F.xxhash64(by), shares).cast("int")).drop("__key", "__shares")
+    two = right.join(hot, F.col(key) == F.col("__key"), "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), shares - 1))).drop("__key", "__shares")
+    return one.join(two, [key, "__salt"], how).drop("__salt")
+
+
+def connected_components(edges: DataFrame, tag: str = "cc", rounds: int = 60, small: int = 200_000) -> DataFrame:
     """(id, component) of every node that has an edge in ``edges`` (a, b: long); component is its smallest reachable id.
 
-    Alternates large-star and small-star steps (Kiveris et al., 2014), each a partial aggregate and a join, so that a hub
-    never gathers its neighbours in one task. Every round is written to the shared folder. No edges: no rows.
+    Alternates large-star and small-star steps (Kiveris et al., 2014), each a partial aggregate and a join. Up to ``small``
+    edges (they are counted) the aggregate is broadcast; beyond, a hub's rows are dealt over several tasks. Every round is
+    written to the shared folder and earlier ones are removed. No edges: no rows.
     """
+
+    def joined(rows: DataFrame, n: int, least) -> DataFrame:
+        least = rows.groupBy("u").agg(least.alias("m"))
+        return rows.join(F.broadcast(least), "u") if n <= small else salted_join(rows, least, "u", "v")
+
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{tag}-0")
-    mark = None
-    for n in range(1, rounds + 1):
+    mark, n = None, now.count()
+    for k in range(1, rounds + 1):
         # large star: every neighbour above u joins the smallest of u's neighbourhood
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = materialize(large, f"{tag}-{n}l")
+        large = joined(both, 2 * n, F.least(F.min("v"), F.col("u"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = materialize(large, f"{tag}-{k}l")
         # small star: u and its smaller neighbours join the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        small = materialize(small, f"{tag}-{n}s")
-        seen = small.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        least = large.groupBy("u").agg(F.min("v").alias("v"))
+        small_star = joined(large, n, F.min("v")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least).distinct()
+        small_star = materialize(small_star, f"{tag}-{k}s")
+        seen = small_star.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         discard(large)
         discard(now)
-        now = small
+        now, n = small_star, seen[0]
         if tuple(seen) == mark:
             break
         mark = tuple(seen)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import connected_components, discard, materialize, sorted_groups
+from tessella.llm.common import connected_components, discard, materialize, salted_join, sorted_groups
 from tessella.llm.shingles import mix, shingle_sets
 
 WIDTH, PERCENT = 5, 80
@@ -95,6 +95,12 @@ def signed(docs: DataFrame, width: int, coordinates: int, rows: int) -> DataFram
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SIGNED)
 
 
+def _both(pairs: DataFrame, values: DataFrame, of: str, value: str) -> DataFrame:
+    """(a, b, x, y): the ``value`` of both ends of written ``pairs`` (a, b). The centre of a large star is a hot key."""
+    one = salted_join(pairs, values.select(F.col(of).alias("a"), F.col(value).alias("x")), "a", "b", pairs)
+    return salted_join(one, values.select(F.col(of).alias("b"), F.col(value).alias("y")), "b", "a", pairs).select("a", "b", "x", "y")
+
+
 def _alike(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     """Those of ``pairs`` (a, b) whose signatures agree in at least ``least`` of the coordinates."""
 
@@ -105,10 +111,7 @@ def _alike(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
             x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
             yield batch.select([0, 1]).filter(pa.array((x == y).mean(axis=1) >= least))
 
-    sig = classes.select(F.col("rep").alias("of"), "sig")
-    both = pairs.join(sig, F.col("a") == F.col("of")).select("a", "b", F.col("sig").alias("x"))
-    both = both.join(sig, F.col("b") == F.col("of")).select("a", "b", "x", F.col("sig").alias("y"))
-    return both.mapInArrow(run, "a bigint, b bigint")
+    return _both(pairs, classes.select("rep", "sig"), "rep", "sig").mapInArrow(run, "a bigint, b bigint")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_limit: int) -> DataFrame:
@@ -129,9 +132,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_li
     if ids.limit(id_limit + 1).count() <= id_limit:
         ids = F.broadcast(ids)  # so only texts that are needed get shuffled
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, F.col("id") == F.col("of"), "left_semi")
-    both = pairs.join(texts, F.col("a") == F.col("id")).select("a", "b", F.col("text").alias("x"))
-    both = both.join(texts, F.col("b") == F.col("id")).select("a", "b", "x", F.col("text").alias("y"))
-    return both.mapInArrow(run, "a bigint, b bigint").distinct()
+    return _both(pairs, texts, "id", "text").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _forest(links: np.ndarray) -> list[tuple[int, int]]:
@@ -264,9 +265,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     least = percent / 100 - slack
     fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
     members = classes.select(F.explode_outer("bands").alias("key"), "rep", "n")
-    centres = members.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("c"), F.count("*").alias("m")).where("m > 1").select("key", "c")
+    centres = members.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("c"), F.count("*").alias("m")).where("m > 1")
+    centres = materialize(centres, "centres")
+    hot = centres.select("key", F.col("m").alias("n")), classes.count() * (coordinates // rows)
     # members of buckets that hold more than one class
-    shared = materialize(members.join(centres, "key").select("key", "rep", "n", F.col("c.rep").alias("centre"), F.col("c.n").alias("cn")), "buckets")
+    shared = materialize(salted_join(members, centres.select("key", "c"), "key", "rep", sizes=hot).select("key", "rep", "n", F.col("c.rep").alias("centre"), F.col("c.n").alias("cn")), "buckets")
     star = shared.where(F.col("rep") != F.col("centre")).where(fits(F.col("n"), F.col("cn"))).select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
     tested = materialize(star, "star")
     links = materialize(_verified(materialize(_alike(tested, classes, least), "alike"), docs, width, percent, id_limit), "links")
