@@ -12,9 +12,10 @@ Vectors are compared only with equal label and length. Equal vectors are one nod
 4. links are counted among all that can be linked: the component, compared block by block on full vectors. That gives the exact number of links within each component without writing the pairs;
 5. an audit compares a hashed sample of nodes, a fresh one each time, with all nodes. Recall is measured per node, before
    the links that the audit found are kept; while it is below ``RECALL``, new trees and rounds follow. Where the last
-   attempt stays below, a warning tells the figure.
+   attempt stays below, a warning tells the figure and all nodes of a label are compared block by block, which is exact.
 
-Chunks, neighbourhoods and blocks are salted by their counted size, so that no group of copies meets in one task.
+Chunks, neighbourhoods and blocks are salted by their counted size, so that no group of copies meets in one task. Vectors are
+carried as they come, as float or double, and compared in double precision, scaled first so that no square overflows.
 
 Defined cases: null, zero and empty vectors, vectors with a null or non-finite component and those without a label link
 with nothing and stay; equal rows link with each other; an empty table gives no rows; a null vec_id takes part in links but
@@ -31,25 +32,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import connected_components, discard, materialize, sorted_groups
+from tessella.llm.common import connected_components, discard, materialize, salted_join, sorted_groups
 
 THRESHOLD = 0.93
 #: TREES: at least; the depth of the codes calls for more.
 TREES, LEAF, CHUNK, LIST, SPLITS = 8, 48, 256, 6, 2
 #: CHANGED: a round that brings the lists less than this closer, on average, is the last.
 ROUNDS, CHANGED, RECALL, TRIES = 3, 0.002, 0.995, 5
+#: Members of a block when all of a group are compared with each other.
+MEMBERS = 1024
 #: The audit's first sample, its largest, and the nodes with few links that it should have: 600 show a loss of one in 200 with 95 %.
 AUDIT, AUDIT_MOST, LINKED = 1024, 16384, 600
 FOUND = "src bigint, dst bigint, sim double, link boolean"
 
 
+#: Ends the bytes of a vector of doubles, whose number is then no multiple of four; one of floats has no end mark.
+DOUBLE = b"d"
+
+
 def _matrix(column) -> np.ndarray:
-    """Unit rows in double precision of a column of binary float32 vectors of one length."""
+    """Unit rows in double precision of a column of binary vectors of one length and type."""
     raw = column.to_pylist()
-    x = np.frombuffer(b"".join(raw), np.float32).reshape(len(raw), -1).astype(float)
+    flat = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
+    double = flat.shape[1] % 4 == 1
+    x = np.ascontiguousarray(flat[:, :-1] if double else flat).view(np.float64 if double else np.float32).astype(float)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _width(vec: bytes) -> int:
+    return len(vec) // 8 if len(vec) % 4 == 1 else len(vec) // 4
+
+
 def _spanning(links: np.ndarray) -> list[tuple[int, int]]:
     """Edges of a forest with the components of a boolean matrix."""
     seen, out = np.zeros(len(links), bool), []
@@ -129,7 +143,7 @@ def _split(groups: DataFrame, sizes: DataFrame, trees: int, leaf: int, threshold
             for i in range(0, batch.num_rows, 2048):
                 part = batch.slice(i, 2048)
                 tree, depth, n = (part.column(k).to_numpy() for k in (1, 2, 5))
-                dims = np.array([len(v) // 4 for v in part.column(4).to_pylist()])
+                dims = np.array([_width(v) for v in part.column(4).to_pylist()])
                 bits = np.ceil(np.log2(np.maximum(1.0, n / leaf))).astype(int).clip(0, 32)
                 more = np.where(depth == 0, np.maximum(trees, _trees(bits, threshold)), -(-_trees(depth + bits, threshold) // np.maximum(trees, _trees(depth, threshold))))
                 for d, t in sorted(set(zip(dims.tolist(), tree.tolist(), strict=True))):
@@ -191,7 +205,7 @@ def _round(nodes: DataFrame, lists: DataFrame, size: int, threshold: float) -> D
     """FOUND of the comparisons around every node."""
     edges = lists.select("src", F.explode("list").alias("e")).select("src", F.col("e.dst").alias("dst"))
     around = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    around = around.unionByName(lists.select("src", F.col("src").alias("dst"))).distinct()
+    around = materialize(around.unionByName(lists.select("src", F.col("src").alias("dst"))).distinct(), "around")
     floors = lists.select(F.col("src").alias("of"), F.when(F.size("list") >= size, F.element_at("list", -1)["sim"]).otherwise(-2.0).alias("floor"))
     vectors = nodes.select(F.col("nid").alias("id"), "vec").join(floors, F.col("id") == F.col("of"), "left").select("id", "vec", F.coalesce("floor", F.lit(-2.0)).alias("floor"))
     rows = around.join(vectors, F.col("dst") == F.col("id")).select(F.col("src").alias("k1"), F.col("dst").alias("nid"), "floor", "vec")
@@ -258,14 +272,32 @@ def _audit(nodes: DataFrame, parts: DataFrame, n: int, attempt: int, size: int,
         sample *= 4
 
 
+def _exact(nodes: DataFrame, parts: DataFrame, threshold: float, block: int = MEMBERS) -> DataFrame:
+    """(src, dst): a forest of all links across components, each label's nodes compared block by block."""
+    placed = nodes.join(parts, F.col("nid") == F.col("id"), "left").select("part", "nid", F.coalesce("component", "nid").alias("component"), "vec")
+    placed = materialize(placed, "placed")
+    sizes = placed.groupBy("part").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = salted_join(placed, sizes, "part", "nid").withColumn("own", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = dealt.select("part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "nid", "component", "vec")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches, 3):
+            ids, component, x = group.column(3).to_numpy(), group.column(4).to_numpy(), _matrix(group.column(5))
+            found = _spanning((x @ x.T >= threshold) & (component[:, None] != component[None, :]))
+            yield pa.RecordBatch.from_arrays([pa.array([ids[p[k]] for p in found], pa.int64()) for k in (0, 1)], names=["src", "dst"])
+
+    return rows.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j").mapInArrow(run, "src bigint, dst bigint")
+
+
 def _counts(members: DataFrame, threshold: float, block: int) -> DataFrame:
     """(nid, links): for ``members`` (component, nid, vec, copies) the number of vectors linked to each, itself included.
 
     A component's members are dealt into blocks, and every ordered pair of blocks is one group: rows go to as many groups
     as the component has blocks.
     """
-    sizes = members.groupBy(F.col("component").alias("of")).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = members.join(sizes, F.col("component") == F.col("of")).withColumn("own", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))
+    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = salted_join(members, sizes, "component", "nid").withColumn("own", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))
     left = dealt.select("component", F.col("own").alias("a"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"), F.lit(True).alias("asks"), "nid", "vec", "copies")
     right = dealt.select("component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("a"), F.col("own").alias("b"), F.lit(False).alias("asks"), "nid", "vec", "copies")
 
@@ -292,14 +324,17 @@ def _counts(members: DataFrame, threshold: float, block: int) -> DataFrame:
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, leaf: int = LEAF, size: int = LIST, rounds: int = ROUNDS, recall: float = RECALL) -> DataFrame:
     """One row per row of ``vectors`` (vec_id, embedding, label): vec_id, n_links, component_id, kept."""
-    rows = vectors.select("vec_id", F.col("label"), F.transform(F.col("embedding").cast("array<float>"), lambda v: v + F.lit(0.0).cast("float")).alias("e"))
+    kind = "float" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "double"
+    rows = vectors.select("vec_id", F.col("label"), F.transform(F.col("embedding").cast(f"array<{kind}>"), lambda v: v + F.lit(0.0).cast(kind)).alias("e"))
     good = F.col("label").isNotNull() & (F.size("e") > 0) & F.forall("e", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("e", lambda v: v != 0)
     rows = materialize(rows.withColumn("good", F.coalesce(good, F.lit(False))), "vectors")
     distinct = rows.where("good").groupBy("label", "e").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
 
+    dtype, mark = (np.float32, b"") if kind == "float" else (np.float64, DOUBLE)
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vec = [np.asarray(v.values.to_numpy(zero_copy_only=False), np.float32).tobytes() for v in batch.column(4)]
+            vec = [np.asarray(v.values.to_numpy(zero_copy_only=False), dtype).tobytes() + mark for v in batch.column(4)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(vec, pa.binary())], names=["nid", "part", "vec_id", "copies", "vec"])
 
     part = F.xxhash64(F.col("label").cast("string"), F.size("e"))
@@ -328,9 +363,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, trees: int
         if reached >= recall:
             break
     else:
-        warnings.warn(f"near_duplicates: the last audit's recall is {reached:.4f}, below {recall}, before the links that it found itself", stacklevel=2)
+        warnings.warn(f"near_duplicates: the last audit's recall is {reached:.4f}, below {recall}: all vectors of a label are compared", stacklevel=2)
+        links = materialize(links.unionByName(_exact(nodes, parts, threshold)), "exact")
+        parts = _parts(links, "whole")
     members = nodes.join(parts, F.col("nid") == F.col("id")).select("component", "nid", "vec_id", "vec", "copies")
-    counted = _counts(members, threshold, CHUNK)
+    counted = _counts(members, threshold, MEMBERS)
     names = members.groupBy(F.col("component").alias("of")).agg(F.min("vec_id").alias("name"))
     linked = members.select("nid", "component").join(names, F.col("component") == F.col("of")).select(F.col("nid").alias("m"), "name").join(counted, F.col("m") == F.col("nid")).select("m", "name", "links")
     known = packed.join(linked, F.col("nid") == F.col("m"), "left").select(F.col("label").alias("l"), F.col("e").alias("f"), F.coalesce("name", "vec_id").alias("name"), (F.coalesce("links", "copies") - 1).alias("links"))

@@ -222,6 +222,35 @@ def test_lists_full_of_links_are_longer(spark):
     assert sizes[0] == 12 and sizes[100] == 6
 
 
+def test_doubles_are_compared_as_doubles(spark):
+    rng = np.random.default_rng(6)
+    x = unit(rng, 8)
+    rows = [(0, (x * 1e39).tolist(), 1), (1, (x * 1e-200).tolist(), 1), (2, (near(rng, x, 0.95) * 1e300).tolist(), 1), (3, (-x).tolist(), 1)]
+    # cosines that single precision can't tell from the threshold
+    a, b = np.zeros(8), np.zeros(8)
+    a[0] = 1
+    for i, c in ((4, 0.93 + 1e-12), (5, 0.93 - 1e-12)):
+        b[0], b[1] = c, np.sqrt(1 - c * c)
+        rows += [(i * 10, a.tolist(), i), (i * 10 + 1, b.tolist(), i)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(df).collect()}
+    assert got == {0: (2, 0), 1: (2, 0), 2: (2, 0), 3: (0, 3), 40: (1, 40), 41: (1, 40), 50: (0, 50), 51: (0, 51)}
+
+
+def test_low_recall_ends_in_an_exact_comparison(spark, monkeypatch):
+    rows = vectors(np.random.default_rng(8), n=200)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    monkeypatch.setattr(embeddings, "TRIES", 1)
+    # no attempt finds a thing: no tree's chunks, no audit's links
+    monkeypatch.setattr(embeddings, "_compared", lambda rows, keep, threshold: spark.createDataFrame([], embeddings.FOUND))
+    monkeypatch.setattr(embeddings, "_audit", lambda *_: (0.0, spark.createDataFrame([], "src long, dst long")))
+    monkeypatch.setattr(embeddings._exact, "__defaults__", (16,))
+    with pytest.warns(UserWarning, match="recall"):
+        got = embeddings.near_duplicates(df).orderBy("vec_id").collect()
+    n, parts = brute_links(rows)
+    assert [r["n_links"] for r in got] == n and [r["component_id"] for r in got] == parts
+
+
 def test_no_embeddings(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embeddings.near_duplicates(df).count() == 0
