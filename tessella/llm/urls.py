@@ -1,8 +1,9 @@
 """URL filters: host-suffix and path-prefix expressions, joined on short hash prefixes. DataFrame functions only.
 
-Every URL is expanded into the pairs of a suffix of its host (at label borders) and a prefix of its path (of the lengths
-that the rules' paths have). An equi-join on the first four bytes of SHA-256 finds candidates, the whole digest confirms
-them, and the longest rule wins; of equally long ones a block rule. Without a rule that fits, ``default`` is the verdict.
+Every URL is expanded into the pairs of a suffix of its host (at label borders) and a prefix of its path, of the numbers of
+labels and characters that the rules have and no others. An equi-join on the first four bytes of SHA-256 finds candidates, the
+whole digest then confirms them, and the longest rule wins; of equally long ones a block rule. Without a rule that fits,
+``default`` is the verdict.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path and fits no rule; repeated rows are judged
 one by one; an empty table gives no rows; other columns of the input are ignored.
@@ -15,12 +16,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import ascii_lower, broadcast_if
+from tessella.llm.common import ascii_lower, salted_join
 
 #: (verdict, host, path)
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 
 
+#: Hexadecimal digits of the digest that rules and URLs are joined on: four bytes.
+PREFIX = 8
+
+
 def split_url(url):
     """(host, path) as strings, both empty for null or where ``://`` is missing."""
     rest = F.when(F.instr(url, "://") > 0, F.substr(url, F.instr(url, "://") + 3)).otherwise("")
@@ -36,20 +41,25 @@ def filter_urls(pages: DataFrame, rules: DataFrame | Sequence[tuple[str, str, st
     ``rules`` are (verdict, host, path). Up to ``rule_limit`` of them are broadcast (they are counted), more are shuffled.
     """
     if not isinstance(rules, DataFrame):
-        rules = pages.sparkSession.createDataFrame(list(rules), "verdict string, host string, path string")
-    rules = rules.where("host <> ''").select(F.col("verdict").alias("says"), F.concat("host", "path").alias("rule"), F.sha2(F.concat_ws("\x1f", "host", "path"), 256).alias("digest"), F.length("path").alias("n"))
-    rules = rules.withColumn("prefix", F.substring("digest", 1, 8))
-    lengths = sorted(r[0] for r in rules.select("n").distinct().collect())  # at most as many as a path has characters
+        made = F.array(*[F.struct(F.lit(v).alias("verdict"), F.lit(h).alias("host"), F.lit(p).alias("path")) for v, h, p in rules])
+        rules = pages.sparkSession.range(1).select(F.inline(made.cast("array<struct<verdict:string,host:string,path:string>>")))
+    key = lambda host, path: F.sha2(F.concat_ws("\x1f", host, path), 256)
+    short = lambda digest: F.conv(F.substring(digest, 1, PREFIX), 16, 10).cast("long")
+    rules = rules.where("host <> '' and path is not null").select(F.col("verdict").alias("says"), F.concat("host", "path").alias("rule"), key("host", "path").alias("digest"), F.size(F.split("host", r"\.")).alias("k"), F.length("path").alias("n"))
+    rules = rules.withColumn("prefix", short(F.col("digest")))
+    shapes = sorted(map(tuple, rules.select("k", "n").distinct().collect()))  # the rules' own lengths: few, whatever the pages hold
     host, path = split_url(F.col("url"))
     rows = pages.select(F.monotonically_increasing_id().alias("rid"), "page_id", host.alias("host"), path.alias("path"))
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.filter(F.transform(F.array(*[F.lit(n) for n in lengths]), lambda n: F.when(F.length("path") >= n, F.substr(F.col("path"), F.lit(1), n))), lambda p: p.isNotNull())
-    rows = rows.withColumn("suffixes", suffixes).withColumn("prefixes", prefixes)
-    rows = rows.select("rid", "page_id", "host", "path", "prefixes", F.explode("suffixes").alias("suffix"))
-    rows = rows.select("rid", "page_id", "host", "path", "suffix", F.explode_outer("prefixes").alias("start"))
-    rows = rows.withColumn("full", F.sha2(F.concat_ws("\x1f", "suffix", "start"), 256))
-    hits = rows.join(broadcast_if(rules, rule_limit), (F.substring("full", 1, 8) == F.col("prefix")) & (F.col("full") == F.col("digest")), "left")
-    best = F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("n"), (F.col("says") == "block").alias("b"), "rule", "says"))).alias("best")
-    out = hits.groupBy("rid").agg(F.first("page_id").alias("page_id"), F.first("host").alias("host"), F.first("path").alias("path"), best)
+    labels = F.size(F.split("host", r"\."))
+    fits = lambda k, n: (F.lit(k) <= labels) & (F.lit(n) <= F.length("path"))
+    digests = [F.when(fits(k, n), key(F.substring_index("host", ".", -k), F.substring("path", 1, n))) for k, n in shapes]
+    rows = rows.withColumn("digests", F.array_compact(F.array(*digests).cast("array<string>")))
+    rows = rows.select("rid", "page_id", "host", "path", F.explode_outer("digests").alias("full")).withColumn("prefix", short(F.col("full")))
+    if len(rules.select(F.lit(1)).take(rule_limit + 1)) <= rule_limit:
+        hits = rows.join(F.broadcast(rules), "prefix", "left")
+    else:
+        hits = salted_join(rows, rules, "prefix", "rid", how="left")
+    # not in the join, where it would take the prefix's place
+    confirmed = F.when(F.col("full") == F.col("digest"), F.struct(F.length("rule").alias("n"), (F.col("says") == "block").alias("b"), "rule", "says"))
+    out = hits.groupBy("rid").agg(F.first("page_id").alias("page_id"), F.first("host").alias("host"), F.first("path").alias("path"), F.max(confirmed).alias("best"))
     return out.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.says", F.lit(default)).alias("verdict"))

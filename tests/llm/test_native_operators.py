@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.llm import queries
-from tessella.llm.common import connected_components
+from tessella.llm.common import connected_components, salted_join
 from tessella.llm.decontamination import decontaminate
 from tessella.llm.mixing import mix_sources, source_targets
 from tessella.llm.secrets import KINDS, TOKEN, redact_secrets, scan_secrets, train_model
@@ -259,6 +259,42 @@ def test_longer_rules_win_and_blocks_win_ties(spark):
     assert {r["page_id"]: (r["rule"], r["verdict"]) for r in filter_urls(pages, rules, "block").collect()} == {1: ("c/xy", "block"), 2: ("b.c/", "allow")}
 
 
+def test_equal_prefixes_are_told_apart_by_the_digest(spark, monkeypatch):
+    from tessella.llm import urls
+
+    rules = [("block", f"h{i}.org", "/a") for i in range(40)] + [("allow", "h3.org", "/ab"), ("block", "org", "/z")]
+    pages = spark.createDataFrame([(i, f"http://x.h{i}.org/abc") for i in range(60)] + [(99, "http://q.org/zz"), (None, None)], "page_id long, url string")
+    want = {str(r) for r in filter_urls(pages, rules).collect()}
+    monkeypatch.setattr(urls, "PREFIX", 1)  # one digit, so that nearly all rules share their prefix with others
+    plan = filter_urls(pages, rules)
+    assert {str(r) for r in plan.collect()} == want
+    assert {str(r) for r in filter_urls(pages, rules, rule_limit=0).collect()} == want
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in plan.collect()}
+    assert got == {**{i: (f"h{i}.org/a", "block") for i in range(40)}, 3: ("h3.org/ab", "allow"), **{i: (None, "allow") for i in range(40, 60)}, 99: ("org/z", "block"), None: (None, "allow")}
+
+
+def test_prefix_join_is_on_the_prefix_alone(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/en/1")], "page_id long, url string")
+    plan = filter_urls(pages)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert len(joins) == 1 and "prefix" in joins[0] and "digest" not in joins[0] and "full" not in joins[0]
+
+
+def test_hosts_of_many_labels_and_long_paths(spark):
+    import time
+
+    pages = spark.createDataFrame([(i, "http://" + "a." * n + "com/en/" + "p" * n) for i, n in enumerate([1, 10, 100_000])] * 2, "page_id long, url string")
+    began = time.perf_counter()
+    got = filter_urls(pages).collect()
+    assert len(got) == 6 and {(r["rule"], r["verdict"]) for r in got} == {("com/en/", "block")}
+    assert time.perf_counter() - began < 20
+
+
+def test_urls_without_rules(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/en/1"), (2, None)], "page_id long, url string")
+    assert {r["verdict"] for r in filter_urls(pages, [], "block").collect()} == {"block"}
+
+
 # Mixing
 
 
@@ -307,9 +343,47 @@ def test_mix_of_nothing_and_repeats(spark):
     assert len(rows) == 6 and sum(r["taken"] for r in rows) <= 2 * 12
 
 
+def test_mix_of_null_and_repeated_ids_hits_its_targets(spark):
+    rng = random.Random(8)
+    texts = ["w " * 10] * 400 + [" ".join(rng.choice("abcdef") for _ in range(rng.randrange(1, 30))) for _ in range(400)] + ["only one"] * 5
+    sources = ["null"] * 400 + ["same"] * 400 + ["few"] * 5
+    ids = [None] * 400 + [3] * 200 + [None] * 200 + [9] * 5
+    df = spark.createDataFrame([(i, t, s, 4, 0.5) for i, t, s in zip(ids, texts, sources, strict=True)], "doc_id long, text string, source string, v int, w double")
+    rows = mix_sources(df.repartition(3)).collect()
+    by = {}
+    for r in rows:
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        by.setdefault(r["source"], [r["target"], 0])[1] += r["taken"]
+    assert by["null"][1] == round(by["null"][0] / 10) * 10 or abs(by["null"][0] - by["null"][1]) <= 10
+    assert all(abs(t - n) <= 30 for t, n in by.values())
+    again = mix_sources(df.repartition(7)).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, again))
+
+
+def test_mix_with_more_sources_than_the_limit(spark):
+    df = docs(spark, ["a b c"] * 60 + ["d"] * 3, [f"s{i % 20}" for i in range(60)] + [None] * 3)
+    assert sorted(map(str, mix_sources(df, source_limit=0).collect())) == sorted(map(str, mix_sources(df).collect()))
+
+
 # Components
 
 
+def test_salted_joins_equal_plain_ones(spark):
+    rng = random.Random(6)
+    left = spark.createDataFrame([(rng.choice([1] * 30 + list(range(40))), i) for i in range(3000)] + [(None, -1)], "key long, x long")
+    right = spark.createDataFrame([(k, k * 10) for k in range(30)] + [(1, 7), (None, 3)], "key long, y long")
+    for how in ("inner", "left"):
+        got, want = salted_join(left, right, "key", "x", how=how), left.join(right, "key", how)
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert salted_join(left.limit(0), right, "key", "x").count() == 0
+
+
+def test_components_by_shuffle(spark):
+    edges = [(0, i) for i in range(1, 300)] + [(i, i + 1) for i in range(1000, 1040)] + [(5000, 1000)]
+    got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long"), small=0).collect()))
+    assert got == {**dict.fromkeys(range(300), 0), **dict.fromkeys([*range(1000, 1041), 5000], 1000)}
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(0, i) for i in range(1, 40)] + [(7, 7), (500, 400), (400, 500)]
     random.Random(0).shuffle(edges)
