@@ -73,24 +73,40 @@ def geojson_geometries(kind: Column, coordinates: Column) -> Column:
     return out.when(kind == "MultiPolygon", multi).when(kind == "LineString", path).when(kind == "MultiLineString", paths)
 
 
-def read_geojson(spark: SparkSession, paths: str | Sequence[str], join_key: str = "presetID") -> DataFrame:
+def _fields(text: Column) -> Column:
+    """A JSON object as a map of variants."""
+    return F.try_parse_json(text).cast("map<string,variant>")
+
+
+def read_geojson(spark: SparkSession, paths: str | Sequence[str], join_key: str | None = "presetID", suffix: str = "_def") -> DataFrame:
     """path, id, properties (JSON object as text), definition (likewise, or null), geometry.
 
     Features without geometry are definitions. Where any exists and some feature has the property ``join_key``, a feature gets
-    the definitions with the same key; several fan out, and a null key meets null keys.
+    the definitions with the same key; several fan out, and a null key meets null keys. A definition's properties are added
+    to the feature's, with ``suffix`` where some feature of the file has a value of that name. Without ``join_key`` features
+    stay as they are. A file is parsed once and stays in its row until its features are matched.
     """
-    shape = "features array<struct<id: string, type: string, geometry: struct<type: string, coordinates: string>, properties: string>>"
-    doc = F.from_json("value", f"struct<{shape}>")
     one = "array<struct<id: string, type: string, geometry: struct<type: string, coordinates: string>, properties: string>>"
+    doc = F.from_json("value", f"struct<features {one}>")
     features = F.coalesce(doc["features"], F.when(F.ltrim("value").startswith("["), F.from_json("value", one)))
-    rows = _whole(spark, paths).select("path", F.inline(features)).drop("type").withColumn("key", F.get_json_object("properties", f"$.{join_key}"))
-    drawn = rows.where("geometry.type is not null").select("path", "id", "properties", "key", F.explode(geojson_geometries(F.col("geometry.type"), F.col("geometry.coordinates"))).alias("geometry"))
-    definitions = rows.where("geometry.type is null").select(F.col("path").alias("__path"), F.col("key").alias("__key"), F.col("properties").alias("definition"))
-    # a file without any key among its features keeps them as they are
-    keyed = rows.groupBy(F.col("path").alias("__file")).agg(F.bool_or(F.col("key").isNotNull()).alias("__keyed"))
-    drawn = drawn.join(keyed, F.col("path") == F.col("__file")).drop("__file")
-    same = (F.col("path") == F.col("__path")) & F.col("key").eqNullSafe(F.col("__key")) & F.col("__keyed")
-    return drawn.join(definitions, same, "left").select("path", "id", "properties", "definition", "geometry")
+    key = lambda f: F.get_json_object(f["properties"], f"$.{join_key}") if join_key else F.lit(None).cast("string")
+    files = _whole(spark, paths).select("path", F.transform(features, lambda f: F.struct(f["id"].alias("id"), f["geometry"].alias("shape"), f["properties"].alias("properties"), key(f).alias("key"))).alias("features"))
+    files = files.withColumn("drawn", F.filter("features", lambda f: f["shape"]["type"].isNotNull())).withColumn("others", F.filter("features", lambda f: f["shape"]["type"].isNull()))
+    named = F.transform("drawn", lambda f: F.map_keys(F.map_filter(_fields(f["properties"]), lambda k, v: ~F.is_variant_null(v))))
+    files = files.withColumn("known", F.array_distinct(F.flatten(F.filter(named, lambda n: n.isNotNull())))).withColumn("keyed", F.exists("features", lambda f: f["key"].isNotNull()))
+    met = lambda f: F.filter("others", lambda d: F.col("keyed") & d["key"].eqNullSafe(f["key"]))
+    rows = files.select("path", "known", F.explode(F.transform("drawn", lambda f: F.struct(f.alias("f"), met(f).alias("met")))).alias("r"))
+    rows = rows.select("path", "known", "r.f.*", F.explode_outer(F.transform("r.met", lambda d: d["properties"])).alias("definition"))
+    own = F.coalesce(_fields(F.col("properties")), F.create_map().cast("map<string,variant>"))
+    added = F.map_filter(_fields(F.col("definition")), lambda k, v: k != F.lit(join_key or ""))
+    added = F.transform_keys(added, lambda k, v: F.when(F.array_contains("known", k), F.concat(k, F.lit(suffix))).otherwise(k))
+    rows = rows.withColumn("own", own).withColumn("added", added)
+    # a name that no feature of the file gives a value is the definition's
+    kept = F.map_filter("own", lambda k, v: ~F.coalesce(F.map_contains_key("added", k), F.lit(False)) | F.array_contains("known", k))
+    fresh = F.map_filter("added", lambda k, v: ~F.map_contains_key("own", k) | ~F.array_contains("known", k))
+    merged = F.when(F.col("added").isNull(), F.col("properties")).otherwise(F.to_json(F.map_concat(kept, fresh)))
+    geometries = geojson_geometries(F.col("shape.type"), F.col("shape.coordinates"))
+    return rows.select("path", "id", merged.alias("properties"), "definition", F.explode(geometries).alias("geometry"))
 
 
 def with_definitions(annotations: DataFrame, definitions: DataFrame, key: str, suffix: str = "_def") -> DataFrame:

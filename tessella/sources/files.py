@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from fnmatch import fnmatch
+from functools import cache
 from typing import BinaryIO
 
 from pyarrow import fs
+from pyspark.sql import SparkSession
+
+
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="tessella-files-")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local session that names none gets one of its own."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (named or f"file://{_own_folder()}").rstrip("/")
 
 
 def located(path: str) -> tuple[fs.FileSystem, str]:

@@ -11,13 +11,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
 
 from tessella.sources.files import listed, opened, removed, written
+from tessella.sources.png import encode_png
 from tessella.sources.tiff import TiffFile, encode_tiff, pyramid
 
 #: Suffixes of slide files.
@@ -51,6 +52,14 @@ class OpenSlideBackend:
         alpha = rgba[..., 3:] / 255
         return (rgba[..., :3] * alpha + np.broadcast_to(background, (3,)) * (1 - alpha)).round().astype(np.uint8)
 
+    def read_rgba(self, x: int, y: int, width: int, height: int, level: int) -> np.ndarray:
+        """Red, green, blue and alpha of a region whose corner is given in the level's pixels."""
+        d = self.slide.level_downsamples[level]
+        return np.asarray(self.slide.read_region((int(x * d), int(y * d)), level, (width, height)))
+
+    def close(self) -> None:
+        self.slide.close()
+
 
 class TiffBackend:
     def __init__(self, path: str):
@@ -73,6 +82,18 @@ class TiffBackend:
     def read(self, x: int, y: int, width: int, height: int, level: int, background=255) -> np.ndarray:
         return self.tiff.pages[level].read(x, y, width, height, background)
 
+    def read_rgba(self, x: int, y: int, width: int, height: int, level: int) -> np.ndarray:
+        """Red, green, blue and alpha of a region whose corner is given in the level's pixels; outside is transparent black."""
+        page = self.tiff.pages[level]
+        pixels = page.read(x, y, width, height, 0)
+        out = np.zeros((height, width, 4), np.uint8)
+        out[..., :3] = pixels[..., :3] if pixels.shape[2] >= 3 else pixels[..., :1]
+        out[max(0, -y) : max(0, page.height - y), max(0, -x) : max(0, page.width - x), 3] = 255
+        return out
+
+    def close(self) -> None:
+        self.context.__exit__(None, None, None)
+
 
 def open_slide(path: str):
     """TIFFs are read here; other formats need the OpenSlide library to be installed."""
@@ -122,12 +143,15 @@ class SlideReader(DataSourceReader):
     def read(self, partition: Files) -> Iterator[tuple]:
         for path in partition.paths:
             slide = open_slide(path)
-            if "level" in self.options:
-                level = int(self.options["level"])
-            else:
-                mpp = [float(v) for v in str(self.options["mpp"]).split(",")] * 2
-                level = slide.level(mpp[:2])
-            width, height, mpp_x, mpp_y, downsample = slide.describe(level)
+            try:
+                if "level" in self.options:
+                    level = int(self.options["level"])
+                else:
+                    mpp = [float(v) for v in str(self.options["mpp"]).split(",")] * 2
+                    level = slide.level(mpp[:2])
+                width, height, mpp_x, mpp_y, downsample = slide.describe(level)
+            finally:
+                slide.close()
             yield (path, int(width), int(height), *self.tile, *self.stride, float(mpp_x), float(mpp_y), level, float(downsample))
 
 
@@ -176,6 +200,40 @@ class TiffWriter(DataSourceWriter):
                 removed(path)
 
 
+class PngWriter(DataSourceWriter):
+    """Rows with name, shape and data (uint8, row-major) become ``<path>/<name>``."""
+
+    def __init__(self, options: dict):
+        self.folder = options["path"].rstrip("/")
+
+    def write(self, rows: Iterator) -> WriterCommitMessage:
+        done = []
+        for row in rows:
+            path = f"{self.folder}/{row['name']}"
+            written(path, encode_png(np.frombuffer(row["data"], np.uint8).reshape(row["shape"])))
+            done.append(path)
+        return Written(done)
+
+    def abort(self, messages: list) -> None:
+        for m in messages:
+            for path in m.paths if m is not None else []:
+                removed(path)
+
+
+class PngSink(DataSource):
+    """``df.write.format("png_tiles").mode("append").save(folder)``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "png_tiles"
+
+    def schema(self) -> str:
+        return "name string, shape array<int>, data binary, options string"
+
+    def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceWriter:
+        return PngWriter(self.options)
+
+
 class TiffSink(DataSource):
     """``df.write.format("tiff_tiles").mode("append").save(folder)``; option ``defaults`` holds options of all rows as JSON:
     mpp, tile, compression, big, pyramid."""
@@ -192,10 +250,11 @@ class TiffSink(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Makes the formats ``wsi_slides`` and ``tiff_tiles`` known, and lets Spark pass filters to Python sources."""
+    """Makes the formats ``wsi_slides``, ``tiff_tiles`` and ``png_tiles`` known, and lets Spark pass filters to Python sources."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SlideSource)
     spark.dataSource.register(TiffSink)
+    spark.dataSource.register(PngSink)
 
 
 def read_slides(spark: SparkSession, paths: str | Sequence[str], tile_extent: int | Sequence[int], stride: int | Sequence[int], mpp: float | Sequence[float] | None = None, level: int | None = None, **options) -> DataFrame:
@@ -222,17 +281,83 @@ class _Open:
             self.slides[path] = open_slide(path)
         return self.slides[path]
 
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_) -> None:
+        for slide in self.slides.values():
+            slide.close()
+
 
 def _tiles(found: list[np.ndarray]) -> pa.Array:
     shapes = pa.array([list(t.shape) for t in found], pa.list_(pa.int32()))
     return pa.StructArray.from_arrays([shapes, pa.array([t.tobytes() for t in found], pa.binary())], names=["shape", "data"])
 
 
+def slide_tiles(*background: int):
+    """A function of path, x, y, width, height and level that gives the pixels of tiles on a background of one gray or of red,
+    green and blue. Slides are opened once a batch: rows of a slide should lie together (``together``)."""
+    colour = background[0] if len(background) == 1 else background
+
+    @F.arrow_udf(TILE)
+    def read(path: pa.Array, x: pa.Array, y: pa.Array, width: pa.Array, height: pa.Array, level: pa.Array) -> pa.Array:
+        with _Open() as slides:
+            return _tiles([slides[p].read(*at, colour) for p, *at in zip(*(c.to_pylist() for c in (path, x, y, width, height, level)), strict=True)])
+
+    return read
+
+
+#: Pixels of tiles on a white background.
+read_slide_tiles = slide_tiles(255)
+
+
 @F.arrow_udf(TILE)
-def read_slide_tiles(path: pa.Array, x: pa.Array, y: pa.Array, width: pa.Array, height: pa.Array, level: pa.Array) -> pa.Array:
-    """Pixels of tiles on a white background."""
-    slides = _Open()
-    return _tiles([slides[p].read(*at) for p, *at in zip(*(c.to_pylist() for c in (path, x, y, width, height, level)), strict=True)])
+def read_slide_regions(path: pa.Array, x: pa.Array, y: pa.Array, width: pa.Array, height: pa.Array, level: pa.Array) -> pa.Array:
+    """Red, green, blue and alpha of regions, whose corners are given in the level's pixels."""
+    with _Open() as slides:
+        return _tiles([slides[p].read_rgba(*at) for p, *at in zip(*(c.to_pylist() for c in (path, x, y, width, height, level)), strict=True)])
+
+
+class TileReader:
+    """Tiles by number, for loaders that fetch single items: rows are a list of mappings with path, tile_x, tile_y,
+    tile_extent_x, tile_extent_y and level. The slides last used, up to ``most``, stay open."""
+
+    def __init__(self, rows: Sequence, most: int = 16, background=255):
+        self.rows, self.most, self.background, self.open = rows, most, background, {}
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, n: int) -> np.ndarray:
+        row = self.rows[n]
+        slide = self.open.pop(row["path"], None) or open_slide(row["path"])
+        self.open[row["path"]] = slide
+        if len(self.open) > self.most:
+            self.open.pop(next(iter(self.open))).close()
+        return slide.read(*(row[c] for c in ("tile_x", "tile_y", "tile_extent_x", "tile_extent_y", "level")), self.background)
+
+    def close(self) -> None:
+        while self.open:
+            self.open.popitem()[1].close()
+
+
+def together(tiles: DataFrame, path: str = "path", order: Sequence[str] = ("tile_y", "tile_x"), rows: int = 128, blocks: int | None = None) -> DataFrame:
+    """Tiles dealt by ranges of slide and place, so that those of a slide lie together and a large slide is split.
+
+    ``blocks`` ranges, or as many as leave about ``rows`` tiles to each (the tiles are then counted), up to 100,000.
+    """
+    n = blocks or min(100_000, max(1, -(-tiles.count() // rows)))
+    return tiles.repartitionByRange(n, path, *order).sortWithinPartitions(path, *order)
+
+
+def pixel_bytes(channels: int = 3) -> Column:
+    """Size of a slide's pixels at its level, from the columns of ``read_slides``."""
+    return F.col("extent_x") * F.col("extent_y") * channels
+
+
+def tile_bytes(channels: int = 3) -> Column:
+    """Size of the pixels of one of a slide's tiles."""
+    return F.col("tile_extent_x") * F.col("tile_extent_y") * channels
 
 
 def _patch(slides: _Open, path, x, y, width, height, mpp_x, mpp_y, roi) -> tuple[np.ndarray, np.ndarray]:
@@ -258,8 +383,8 @@ def _patch(slides: _Open, path, x, y, width, height, mpp_x, mpp_y, roi) -> tuple
 @F.arrow_udf(OVERLAY)
 def tile_overlay(path: pa.Array, x: pa.Array, y: pa.Array, mpp_x: pa.Array, mpp_y: pa.Array, roi: pa.Array) -> pa.Array:
     """Overlay pixels of tiles and a mask, 1 outside the ROI, both (height, width, 3)."""
-    slides = _Open()
-    found = [_patch(slides, p, a, b, None, None, c, d, r) for p, a, b, c, d, r in zip(*(v.to_pylist() for v in (path, x, y, mpp_x, mpp_y, roi)), strict=True)]
+    with _Open() as slides:
+        found = [_patch(slides, p, a, b, None, None, c, d, r) for p, a, b, c, d, r in zip(*(v.to_pylist() for v in (path, x, y, mpp_x, mpp_y, roi)), strict=True)]
     shapes = pa.array([list(d.shape) for d, _ in found], pa.list_(pa.int32()))
     masks = [np.repeat(m[..., None], d.shape[2], axis=2).astype(np.uint8).tobytes() for d, m in found]
     return pa.StructArray.from_arrays([shapes, pa.array([d.tobytes() for d, _ in found], pa.binary()), pa.array(masks, pa.binary())], names=["shape", "data", "mask"])
@@ -268,11 +393,12 @@ def tile_overlay(path: pa.Array, x: pa.Array, y: pa.Array, mpp_x: pa.Array, mpp_
 @F.arrow_udf(T.MapType(T.StringType(), T.DoubleType()))
 def tile_overlay_overlap(path: pa.Array, x: pa.Array, y: pa.Array, mpp_x: pa.Array, mpp_y: pa.Array, roi: pa.Array) -> pa.Array:
     """Share of each overlay value among the unmasked pixels of all channels; empty where all are masked."""
-    slides, out = _Open(), []
-    for p, a, b, c, d, r in zip(*(v.to_pylist() for v in (path, x, y, mpp_x, mpp_y, roi)), strict=True):
-        data, outside = _patch(slides, p, a, b, None, None, c, d, r)
-        values, n = np.unique(data[~outside], return_counts=True)
-        out.append([(str(v), k / n.sum()) for v, k in zip(values.tolist(), n.tolist(), strict=True)])
+    out = []
+    with _Open() as slides:
+        for p, a, b, c, d, r in zip(*(v.to_pylist() for v in (path, x, y, mpp_x, mpp_y, roi)), strict=True):
+            data, outside = _patch(slides, p, a, b, None, None, c, d, r)
+            values, n = np.unique(data[~outside], return_counts=True)
+            out.append([(str(v), k / n.sum()) for v, k in zip(values.tolist(), n.tolist(), strict=True)])
     return pa.array(out, pa.map_(pa.string(), pa.float64()))
 
 

@@ -63,6 +63,8 @@ def test_geojson_relations(spark, tmp_path):
     path = put(tmp_path, "r.json", {"features": features})
     rows = {json.loads(r["properties"])["presetID"]: r for r in a.read_geojson(spark, path).collect()}
     assert json.loads(rows["a1"]["definition"])["shared_attr"] == "B" and rows["b2"]["definition"] is None
+    assert len(a.filtered(a.read_geojson(spark, path), meta_category_value="Healthy").collect()) == 1  # under its own name
+    assert json.loads(rows["a1"]["properties"])["shared_attr_def"] == "B"
     found = a.filtered(a.read_geojson(spark, path), definition_meta_category_value="Healthy").collect()
     assert len(found) == 1
     wrong = a.read_geojson(spark, path, join_key="none").collect()
@@ -113,3 +115,19 @@ def test_json_value(spark):
     df = spark.createDataFrame([('{"a": 1}',), ("not json",), ("null",), ("",), (None,)], "v string")
     got = [r[0] for r in df.select(F.to_json(a.json_value(F.col("v")))).collect()]
     assert got == ['{"a":1}', '"not json"', "null", '""', None]
+
+
+def test_geojson_definitions_as_columns(spark, tmp_path):
+    drawn = [feature(POLYGON, presetID="k1", grade=2, empty=None), feature(OTHER, presetID="k2", grade=None), feature(POLYGON)]
+    definitions = [feature(None, presetID="k1", empty="filled", grade=7, label="one"), feature(None, presetID="k1", label="again"), feature(None, label="without key")]
+    path = put(tmp_path, "d.json", {"features": drawn + definitions})
+    order = lambda r: json.dumps(r, sort_keys=True)
+    got = [json.loads(r["properties"]) for r in a.read_geojson(spark, path).collect()]
+    want = [
+        {"presetID": "k1", "grade": 2, "empty": "filled", "grade_def": 7, "label": "one"}, {"presetID": "k1", "grade": 2, "label": "again"},
+        {"presetID": "k2", "grade": None}, {"label": "without key"},
+    ]
+    drop = lambda r: {k: v for k, v in r.items() if k != "empty" or v is not None}
+    assert sorted(map(drop, got), key=order) == sorted(want, key=order)
+    plain = [json.loads(r["properties"]) for r in a.read_geojson(spark, path, join_key=None).collect()]
+    assert sorted(plain, key=order) == sorted((f["properties"] for f in drawn), key=order)

@@ -40,6 +40,21 @@ def test_entry_and_native_plans(spark):
         assert "Python" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_the_shared_folder_must_be_named_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tessella.sources.files import shared_folder
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    for master, fails in (("yarn", True), ("local-cluster[2,1,1024]", True), ("local[4]", False)):
+        session = SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: conf, master=master), conf=conf)
+        if fails:
+            with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+                shared_folder(session)
+        else:
+            assert shared_folder(session).startswith("file:///")
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query_equals_duckdb(spark, name):
     con = duckdb.connect()

@@ -107,3 +107,47 @@ def test_landing_folder(spark, folder, tmp_path):
     query.awaitTermination()
     counts = {r["path"].rsplit("/", 1)[-1]: r["n"] for r in spark.sql("select path, count(*) as n from landed group by path").collect()}
     assert counts == {"a.tiff": 35, "b.ome.tiff": 35, "m.tif": 12}
+
+
+def test_png_rows_come_back():
+    import struct
+    import zlib
+
+    from tessella.sources.png import encode_png
+
+    for channels in (1, 2, 3, 4):
+        pixels = np.random.default_rng(channels).integers(0, 256, (7, 5, channels), dtype=np.uint8)
+        data, at, chunks = encode_png(pixels), 8, {}
+        while at < len(data):
+            size, name = struct.unpack(">I4s", data[at : at + 8])
+            body = data[at + 8 : at + 8 + size]
+            assert struct.unpack(">I", data[at + 8 + size : at + 12 + size])[0] == zlib.crc32(name + body)
+            chunks[name], at = body, at + 12 + size
+        rows = np.frombuffer(zlib.decompress(chunks[b"IDAT"]), np.uint8).reshape(7, -1)
+        assert (rows[:, 0] == 0).all() and (rows[:, 1:].reshape(pixels.shape) == pixels).all()
+        assert struct.unpack(">II", chunks[b"IHDR"][:8]) == (5, 7)
+
+
+def test_single_tiles_and_open_slides(folder):
+    rows = [{"path": str(folder / name), "tile_x": x, "tile_y": 8, "tile_extent_x": 20, "tile_extent_y": 10, "level": 0} for name in ("a.tiff", "b.ome.tiff") for x in (0, 64, 410)]
+    reader = slides.TileReader(rows, most=1, background=(9, 8, 7))
+    assert len(reader) == 6
+    for n, row in enumerate(rows):
+        want = np.empty((10, 20, 3), np.uint8)
+        want[:] = (9, 8, 7)
+        seen = gradient(300, 420)[8:18, row["tile_x"] : row["tile_x"] + 20]
+        want[: seen.shape[0], : seen.shape[1]] = seen
+        assert (reader[n] == want).all() and len(reader.open) == 1
+    reader.close()
+    assert not reader.open
+
+
+def test_tiles_of_a_slide_lie_together(spark):
+    rows = [(f"s{k}", x, y) for k in range(6) for x in range(20) for y in range(20)]
+    tiles = spark.createDataFrame(rows, "path string, tile_x int, tile_y int").repartition(9)
+    out = slides.together(tiles, rows=100)
+    blocks = {}
+    for r in out.withColumn("b", F.spark_partition_id()).collect():
+        blocks.setdefault(r["b"], []).append((r["path"], r["tile_y"], r["tile_x"]))
+    assert out.count() == len(rows) and all(b == sorted(b) for b in blocks.values())
+    assert max(len({p for p, _, _ in b}) for b in blocks.values()) <= 2
