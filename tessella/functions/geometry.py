@@ -91,12 +91,49 @@ def _crossings(e: np.ndarray) -> np.ndarray:
     return x[(x > np.maximum(e[a, 0], e[b, 0])) & (x < np.minimum(e[a, 2], e[b, 2]))]
 
 
+def _odd(x: np.ndarray, y: float) -> np.ndarray:
+    """Horizontal edges at ``y`` over the parts that an odd number of the intervals with these ends covers."""
+    ends, times = np.unique(x, return_counts=True)
+    ends = ends[times % 2 == 1].reshape(-1, 2)
+    return np.stack([ends[:, 0], np.full(len(ends), y), ends[:, 1], np.full(len(ends), y)], axis=1)
+
+
+def _clipped(e: np.ndarray, x0: float, y0: float, x1: float, y1: float) -> np.ndarray:
+    """Edges that bound the same area within a box.
+
+    What lies left or right of the box is left out. Of what lies above or below it only the parity counts, so that it becomes
+    a few edges on the box's border, however many vertices it has.
+    """
+    e = e[(e[:, 2] > x0) & (e[:, 0] < x1)]
+    if not len(e) or ((e[:, [0]] >= x0).all() and (e[:, 2] <= x1).all() and (e[:, [1, 3]] >= y0).all() and (e[:, [1, 3]] <= y1).all()):
+        return e
+    slope = (e[:, 3] - e[:, 1]) / (e[:, 2] - e[:, 0])
+    at = lambda x: np.where(x == e[:, 0], e[:, 1], np.where(x == e[:, 2], e[:, 3], e[:, 1] + (x - e[:, 0]) * slope))
+    left, right = np.maximum(e[:, 0], x0), np.minimum(e[:, 2], x1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cuts = [np.where(slope != 0, e[:, 0] + (y - e[:, 1]) / slope, left) for y in (y0, y1)]
+    cuts = np.sort(np.stack([np.clip(np.nan_to_num(c, nan=0.0), left, right) for c in cuts]), axis=0)
+    inside, above, below = [], [], []
+    for a, b in ((left, cuts[0]), (cuts[0], cuts[1]), (cuts[1], right)):
+        some = b > a
+        low, high = at(a), at(b)
+        middle = (low + high) / 2
+        within = some & (middle > y0) & (middle < y1)
+        inside.append(np.stack([a, np.clip(low, y0, y1), b, np.clip(high, y0, y1)], axis=1)[within])
+        above += [a[some & (middle >= y1)], b[some & (middle >= y1)]]
+        below += [a[some & (middle <= y0)], b[some & (middle <= y0)]]
+    return np.concatenate([*inside, _odd(np.concatenate(above), y1), _odd(np.concatenate(below), y0)])
+
+
 def slabs(polygons: list, roi) -> tuple[float, list[list[tuple[float, float]]]]:
     """Area and trapezoids of the union of ``polygons`` (lists of rings) within the ring ``roi``."""
-    shapes = [_edges(p) for p in polygons]
-    shapes = [s for s in shapes if len(s)]
     frame = _edges([roi])
-    if not shapes or not len(frame):
+    if not len(frame):
+        return 0.0, []
+    box = frame[:, 0].min(), frame[:, [1, 3]].min(), frame[:, 2].max(), frame[:, [1, 3]].max()
+    shapes = [_clipped(_edges(p), *box) for p in polygons]
+    shapes = [s for s in shapes if len(s)]
+    if not shapes:
         return 0.0, []
     every = np.concatenate([*shapes, frame])
     xs = np.unique(np.concatenate([every[:, 0], every[:, 2], _crossings(every)]))

@@ -68,3 +68,35 @@ def test_box_join_finds_each_pair_once(spark):
 def test_areas(spark):
     row = spark.range(1).select(g.polygon_area(F.array(g.rectangle(F.lit(0.0), F.lit(0.0), F.lit(4.0), F.lit(4.0)), g.rectangle(F.lit(1.0), F.lit(1.0), F.lit(2.0), F.lit(2.0)))).alias("a"), g.bounds(F.array(g.rectangle(F.lit(1.0), F.lit(2.0), F.lit(3.0), F.lit(4.0)))).alias("b")).first()
     assert row["a"] == 12 and tuple(row["b"]) == (1, 2, 4, 6)
+
+
+def test_clipping_keeps_the_area_within_the_box(monkeypatch):
+    from tessella.functions import geometry
+
+    rng = np.random.default_rng(3)
+    clipped = geometry._clipped
+    for n in range(60):
+        shapes = []
+        for _ in range(3):
+            angles, radius = np.sort(rng.uniform(0, 2 * np.pi, 12)), rng.uniform(2, 40, 12)
+            ring = [{"x": float(20 + r * np.cos(a)), "y": float(20 + r * np.sin(a))} for a, r in zip(angles, radius, strict=True)]
+            shapes.append([ring, [{"x": 15.0, "y": 15.0}, {"x": 22.0, "y": 16.0}, {"x": 18.0, "y": 24.0}]] if n % 2 else [ring])
+        corners = [(8, 10), (30, 9), (27, 33), (10, 28)] if n % 3 else [(8, 10), (30, 10), (30, 31), (8, 31)]
+        roi = [{"x": float(x), "y": float(y)} for x, y in corners]
+        monkeypatch.setattr(geometry, "_clipped", clipped)
+        got = g.slabs(shapes, roi)[0]
+        monkeypatch.setattr(geometry, "_clipped", lambda e, *_: e)
+        assert abs(got - g.slabs(shapes, roi)[0]) < 1e-6
+
+
+def test_polygon_of_many_vertices_over_many_tiles():
+    import time
+
+    angles = np.linspace(0, 2 * np.pi, 50_000, endpoint=False)
+    ring = [{"x": float(x), "y": float(y)} for x, y in zip(1000 + 900 * np.cos(angles), 1000 + 900 * np.sin(angles), strict=True)]
+    began, total = time.process_time(), 0.0
+    for x in range(0, 2000, 400):
+        for y in range(0, 2000, 400):
+            roi = [{"x": float(a), "y": float(b)} for a, b in ((x, y), (x + 400, y), (x + 400, y + 400), (x, y + 400))]
+            total += g.slabs([[ring]], roi)[0]
+    assert abs(total / (np.pi * 900**2) - 1) < 1e-6 and time.process_time() - began < 120
