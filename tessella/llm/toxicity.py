@@ -5,8 +5,9 @@ frequencies are counted over all documents, and phi, the correlation of a term w
 every term and drops none. Examples with equal counts are one entry of the index with their votes added.
 
 The postings of a term are cut into blocks of ``BLOCK`` entries, each with its greatest weight. The sum of these over a
-query's terms bounds the cosines of a block. Blocks are read in the order of their bounds, a few and then more at a time,
-until the bound is below the k-th best cosine, so that the k nearest are exact; of equal ones the first entry counts.
+query's terms bounds the cosines of a block. Blocks are read in the order of their bounds, ``FIRST``
+of them and then all whose bound reaches the k-th best cosine so far, so that the k nearest are exact; of equal ones the first
+entry counts.
 
 The share of label 1 among the votes, weighted by class and a power of the cosine and shrunk towards the share among all
 examples, becomes ``score`` by a logistic curve fitted on the examples, each judged by all others. ``evidence`` names the
@@ -28,6 +29,7 @@ from math import log, sqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ from tessella.llm.common import WORD, sample_labels
 
 FLOOR = 0.01
 PER_CLASS = 2000
-BLOCK, NEAREST, POWER, PRIOR = 64, 20, 2.0, 0.5
+BLOCK, FIRST, NEAREST, POWER, PRIOR = 64, 2, 20, 2.0, 0.5
 _WORDS = re.compile(WORD.replace("\\x3A-\\x60", "\\x3A-\\x40\\x5B-\\x60"))
 
 
@@ -53,36 +55,41 @@ class Vocabulary:
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Places of the text's known terms, ascending, and how often they occur."""
         at = self.places
-        return _sorted([(at[t], n) for t, n in term_counts(text).items() if t in at])
+        found = {at[t]: n for t, n in term_counts(text).items() if t in at}
+        terms, counts = np.fromiter(found, np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found))
+        order = np.argsort(terms)
+        return terms[order], counts[order]
 
-
-def _sorted(pairs: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    both = np.array(pairs, np.int64).reshape(-1, 2)
-    both = both[np.argsort(both[:, 0])]
-    return both[:, 0], both[:, 1]
+    def present(self, text: str | None) -> list[int]:
+        """Places of the text's known terms."""
+        at = self.places
+        return [at[t] for t in set(_WORDS.findall((text or "").lower())) if t in at]
 
 
 def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The numbers of all ranges, one after the other."""
     ends = np.cumsum(sizes)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+    out = np.repeat(starts - ends + sizes, sizes)
+    out += np.arange(len(out))
+    return out
 
 
 class Index:
     """Distinct example vectors with their votes: sparse postings of each term, by blocks, and the blocks' maxima."""
 
-    def __init__(self, vectors: list[dict[int, float]], votes: list[tuple[float, float]], names: list[int], size: int):
+    def __init__(self, vectors: list[dict[int, float] | tuple[np.ndarray, np.ndarray]], votes: list[tuple[float, float]], names: list[int], size: int):
         # entries with the same heaviest term lie together, so that blocks differ in their bounds
-        order = sorted(range(len(vectors)), key=lambda i: (max(vectors[i], key=lambda t: (vectors[i][t], -t)), sorted(vectors[i])))
+        pairs = [(np.fromiter(v, np.int64, len(v)), np.fromiter(v.values(), float, len(v))) if isinstance(v, dict) else v for v in vectors]
+        order = sorted(range(len(pairs)), key=lambda i: (int(pairs[i][0][np.argmax(pairs[i][1])]), pairs[i][0].tobytes(), i))
         self.votes = np.array([votes[i] for i in order], float).reshape(-1, 2)
         self.names = [names[i] for i in order]
         self.blocks = -(-len(order) // BLOCK)
-        sizes = np.array([len(vectors[i]) for i in order], np.int64)
-        place = np.repeat(np.arange(len(order)), sizes)
-        term = np.fromiter((t for i in order for t in vectors[i]), np.int64, int(sizes.sum()))
-        weight = np.fromiter((w for i in order for w in vectors[i].values()), float, int(sizes.sum()))
+        place = np.repeat(np.arange(len(order)), [len(pairs[i][0]) for i in order])
+        term = np.concatenate([np.empty(0, np.int64), *(pairs[i][0] for i in order)])
+        weight = np.concatenate([np.empty(0), *(pairs[i][1] for i in order)])
         by_term = np.lexsort((place, term))
-        term, self.place, self.weight = term[by_term], place[by_term].astype(np.int32), weight[by_term]
+        term, self.place, self.weight = term[by_term], place[by_term].astype(np.int64), weight[by_term]
+        self.starts = np.searchsorted(term, np.arange(size + 1))
         # a run is the postings of one term in one block
         run = term * max(1, self.blocks) + self.place // BLOCK
         first = np.flatnonzero(np.r_[True, run[1:] != run[:-1]]) if len(run) else np.empty(0, int)
@@ -102,26 +109,36 @@ class Index:
         if not len(terms) or not self.blocks:
             return places, cosines
         sizes = self.runs[terms + 1] - self.runs[terms]
-        runs, weights = _spread(self.runs[terms], sizes), np.repeat(weights, sizes)
-        blocks = self.block[runs]
-        bounds = np.bincount(blocks, weights * self.most[runs], self.blocks)
+        runs, by_run = _spread(self.runs[terms], sizes), np.repeat(weights, sizes)
+        blocks = self.block.take(runs)
+        bounds = np.bincount(blocks, by_run * self.most.take(runs), self.blocks)
         order = np.argsort(-bounds, kind="stable")
         order = order[bounds[order] > 0]
-        at, step = 0, 4
-        while at < len(order):
-            part = order[at : at + step]
+        wanted = np.zeros(self.blocks, bool)
+        for part in (order[:FIRST], order[FIRST:]):
             if len(places) >= k:
                 part = part[bounds[part] >= cosines[k - 1] - 1e-9]
-                if not len(part):
-                    break
-            at, step = at + step, 4 * step
-            wanted = np.zeros(self.blocks, bool)
+            if not len(part):
+                break
+            wanted[:] = False
             wanted[part] = True
-            own = np.flatnonzero(wanted[blocks])
-            lengths = self.length[runs[own]]
-            postings = _spread(self.first[runs[own]], lengths)
-            dots = np.bincount(self.place[postings], np.repeat(weights[own], lengths) * self.weight[postings])
-            found = np.flatnonzero(dots)
+            own = wanted[blocks]
+            if 2 * np.count_nonzero(own) > len(own):
+                # most of the postings are needed: read them term by term, and leave out the other blocks' sums
+                lengths = self.starts[terms + 1] - self.starts[terms]
+                postings = _spread(self.starts[terms], lengths)
+                dots = np.bincount(self.place.take(postings), np.repeat(weights, lengths) * self.weight.take(postings))
+                found = np.flatnonzero(dots)
+                found = found[wanted[found // BLOCK]]
+            else:
+                own = np.flatnonzero(own)
+                lengths = self.length[runs[own]]
+                postings = _spread(self.first[runs[own]], lengths)
+                dots = np.bincount(self.place.take(postings), np.repeat(by_run[own], lengths) * self.weight.take(postings))
+                found = np.flatnonzero(dots)
+            if len(found) > k:
+                values = dots[found]
+                found = found[values >= np.partition(values, len(values) - k)[len(values) - k]]
             places, cosines = np.concatenate([places, found]), np.concatenate([cosines, dots[found]])
             best = np.lexsort((places, -cosines))[:k]
             places, cosines = places[best], cosines[best]
@@ -198,32 +215,41 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
                 yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))], names=["doc_id", "label", "terms", "counts"])
 
     examples = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
-    rows = sorted(examples.mapInArrow(terms, "doc_id bigint, label int, terms array<string>, counts array<bigint>").collect(), key=lambda r: (r["doc_id"], r["label"], r["terms"], r["counts"]))
-    n = [sum(r["label"] == k for r in rows) for k in (0, 1)]
-    vocabulary = Vocabulary(sorted({t for r in rows for t in r["terms"]}))
+    found = examples.mapInArrow(terms, "doc_id bigint, label int, terms array<string>, counts array<bigint>").toArrow().combine_chunks()
+    ids, label = found["doc_id"].to_pylist(), found["label"].to_pylist()
+    lists, times = (pa.concat_arrays([pa.array([], found[c].type), *found[c].chunks]) for c in ("terms", "counts"))
+    vocabulary = Vocabulary(sorted(pc.unique(lists.flatten()).to_pylist()))
+    n = [label.count(k) for k in (0, 1)]
     if not all(n):
         return Model(vocabulary, np.empty(0), None, float(bool(n[1])))
-    places, size = vocabulary.places, len(vocabulary.kept)
-    counts = [_sorted([(places[t], n) for t, n in zip(r["terms"], r["counts"], strict=True)]) for r in rows]
+    size = len(vocabulary.kept)
+    places = pc.index_in(lists.flatten(), value_set=pa.array(vocabulary.kept, pa.string())).to_numpy(zero_copy_only=False).astype(np.int64)
+    numbers = times.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    cuts = np.cumsum([0, *pc.list_value_length(lists).to_pylist()]).tolist()
+    counts = []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        by_place = a + np.argsort(places[a:b])
+        counts.append((places[by_place], numbers[by_place]))
+    keys = [t.tobytes() + c.tobytes() for t, c in counts]
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], label[i], keys[i]))
     holds = np.zeros((2, size))
-    for r, (terms_, _) in zip(rows, counts, strict=True):
-        holds[r["label"], terms_] += 1
+    for i in order:
+        holds[label[i], counts[i][0]] += 1
     b, a = holds
     phi = np.abs(a * n[0] - b * n[1]) / np.sqrt((a + b) * np.maximum(sum(n) - a - b, 1) * n[0] * n[1])
     total, df = _frequencies(docs, vocabulary)
     weights = (np.log((1 + total) / (1 + df)) + 1) * (FLOOR + phi)
     model = Model(vocabulary, weights, None, n[1] * weight[1] / (n[0] * weight[0] + n[1] * weight[1]))
     entries: dict[bytes, list] = {}
-    keys = [t.tobytes() + c.tobytes() for t, c in counts]
-    for r, key, (t, c) in zip(rows, keys, counts, strict=True):
-        if key:
-            entry = entries.setdefault(key, [0.0, 0.0, r["doc_id"], dict(zip(t.tolist(), model.vector(t, c).tolist(), strict=True))])
-            entry[1 - r["label"]] += weight[r["label"]]
+    for i in order:
+        if keys[i]:
+            entry = entries.setdefault(keys[i], [0.0, 0.0, ids[i], (counts[i][0], model.vector(*counts[i]))])
+            entry[1 - label[i]] += weight[label[i]]
     if not entries:
         return model
     model.index = Index([v[3] for v in entries.values()], [(v[0], v[1]) for v in entries.values()], [v[2] for v in entries.values()], size)
     at = {name: i for i, name in enumerate(model.index.names)}
-    model.fit([(t, c, at[entries[key][2]], r["label"], weight[r["label"]]) for r, key, (t, c) in zip(rows, keys, counts, strict=True) if key])
+    model.fit([(*counts[i], at[entries[keys[i]][2]], label[i], weight[label[i]]) for i in order if keys[i]])
     return model
 
 
@@ -236,7 +262,7 @@ def _frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[int, np.ndarr
         for batch in batches:
             found[size] += batch.num_rows
             for t in batch.column(0):
-                found[vocabulary.counts(t.as_py())[0]] += 1
+                found[vocabulary.present(t.as_py())] += 1
         some = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(found[some])], names=["term", "n"])
 
