@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 256
+#: Texts drawn to find the edges of their buckets, and how much of each an edge holds.
+SAMPLE, PREFIX = 16_384, 128
 
 
 def global_rank(rows: DataFrame, order: Sequence[str | Column], weight: str | None = None, bucket: Column | None = None) -> DataFrame:
@@ -24,7 +26,12 @@ def global_rank(rows: DataFrame, order: Sequence[str | Column], weight: str | No
         sampled = rows.select(first.alias("v")).where("v is not null")
         kind = sampled.schema["v"].dataType.typeName()
         if kind in ("string", "binary"):
-            bucket = F.coalesce(F.conv(F.hex(F.substring(F.encode(first.cast("string"), "utf-8"), 1, 1)), 16, 10).cast("int"), F.lit(-1))
+            # percentiles are for numbers only: edges from a bounded sample; they decide who ranks a row, not its rank
+            share = SAMPLE / max(1, sampled.count())
+            some = sampled.select(F.substring("v", 1, PREFIX).alias("v"))
+            some = sorted(r["v"] if kind == "string" else bytes(r["v"]) for r in (some.sample(share, seed=0) if share < 1 else some).collect())
+            edges = sorted({some[i * len(some) // BUCKETS] for i in range(1, BUCKETS)}) if some else []
+            bucket = F.coalesce(F.size(F.filter(F.array(*[F.lit(e) for e in edges]).cast(f"array<{kind}>"), lambda e: e < first)), F.lit(-1))
         else:
             edges = sampled.select(F.percentile_approx(F.col("v").cast("double"), [i / BUCKETS for i in range(1, BUCKETS)], 10_000)).first()[0] or []
             edges = sorted(set(edges))
