@@ -8,7 +8,8 @@ Fingerprints are joined, every hit is extended to the whole window and compared
 Items shorter than ``span`` have windows of their own length, and documents get fingerprints for each length that occurs.
 
 Up to ``window_limit`` distinct windows (they are counted) the benchmark is broadcast and documents are read once, with
-one shuffle of the hits. Beyond it fingerprints are joined by a shuffle and the documents that have hits are read again.
+one shuffle of the hits. Beyond it documents are numbered in a written table, fingerprints are joined by a shuffle that deals
+hot ones over several tasks, and the documents that have hits are read again.
 
 Defined cases: null or empty text has no words and is never contaminated; null or empty items have no windows; repeated
 rows are judged one by one; an empty benchmark hits nothing; other columns of the inputs are ignored.
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import WORD, ascii_lower, broadcast_if, materialize
+from tessella.llm.common import WORD, ascii_lower, discard, materialize, salted_join
 
 SPAN, GRAM, THRESHOLD = 13, 5, 20
 
@@ -81,33 +82,46 @@ def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int
     distinct = windows.select(F.col("n").alias("bn"), "fp", "off", "wtext", "wid").distinct()
     owners = windows.select(F.col("wid").alias("owned"), F.col("item_id").cast("string").alias("item")).distinct()
     small = windows.limit(window_limit + 1).count() <= window_limit
-    words = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", words_of(F.col("text")).alias("w"))
+    base = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
+    if not small:
+        base = materialize(base, "numbered")  # read more than once, and a row must keep its number
+    words = base.select("rid", "doc_id", words_of(F.col("text")).alias("w"))
     prints = document_fingerprints(words, lengths, gram)
     fits = lambda start, n: (start >= 0) & (start + n <= F.size("w")) & (F.array_join(F.slice("w", start + 1, n), " ") == F.col("wtext"))
     start = F.col("p") - F.col("off")
-    mark = F.struct(F.lit(0).alias("n"), F.lit(-1).alias("p"), F.lit(0).cast("long").alias("h"))
+    place = F.struct(start.cast("int").alias("s"), F.col("n").cast("int").alias("n"))
     if small:
         # A mark in both tables brings every document through the one inner join. The outer form of explode keeps the
         # optimizer from adding a filter on the array's size, which it would push below the steps that make the array.
+        mark = F.struct(F.lit(0).alias("n"), F.lit(-1).alias("p"), F.lit(0).cast("long").alias("h"))
         rows = prints.withColumn("fps", F.concat("fps", F.array(mark))).select("rid", "doc_id", "w", F.explode_outer("fps").alias("f")).select("rid", "doc_id", "w", "f.n", "f.p", "f.h")
         marks = windows.sparkSession.range(1).select(F.lit(0).alias("bn"), F.lit(0).cast("long").alias("fp"), F.lit(0).alias("off"), F.lit(None).cast("string").alias("wtext"), F.lit(None).cast("string").alias("wid"))
         hits = rows.join(F.broadcast(distinct.unionByName(marks)), (F.col("h") == F.col("fp")) & (F.col("n") == F.col("bn")))
         hits = hits.where((F.col("p") < 0) | fits(start, F.col("n")))
+        hits = hits.select("rid", "doc_id", F.size("w").alias("n_words"), F.when(F.col("wid").isNotNull(), place).alias("at"), "wid")
     else:
-        rows = prints.select("rid", F.explode_outer("fps").alias("f")).select("rid", "f.n", "f.p", "f.h")
-        found = rows.join(distinct.select("fp").distinct(), F.col("h") == F.col("fp"), "left_semi")
-        found = found.groupBy("rid").agg(F.collect_list(F.struct("n", "p", "h")).alias("fs"))
-        rows = words.join(found.withColumnRenamed("rid", "fid"), F.col("rid") == F.col("fid"), "left")
-        rows = rows.withColumn("fs", F.concat(F.coalesce("fs", F.array().cast("array<struct<n:int,p:int,h:bigint>>")), F.array(mark)))
-        rows = rows.select("rid", "doc_id", F.size("w").alias("n_words"), "w", F.explode("fs").alias("f")).select("rid", "doc_id", "n_words", "f.n", "f.p", "f.h", F.greatest(F.col("f.p") - F.col("f.n") + 1, F.lit(0)).alias("from"), "w")
+        # a common passage's fingerprints are dealt over several tasks
+        seen = materialize(prints.select("rid", F.explode_outer("fps").alias("f")).select("rid", "f.n", "f.p", F.col("f.h").alias("fp")).where("fp is not null"), "prints")
+        found = materialize(salted_join(seen, distinct.select("fp").distinct(), "fp", "rid"), "found")
+        discard(seen)
+        of_row = found.groupBy("rid").agg(F.collect_list(F.struct("n", "p", "fp")).alias("fs"))
+        rows = words.join(of_row, "rid").select("rid", "doc_id", F.size("w").alias("n_words"), "w", F.explode("fs").alias("f"))
+        rows = rows.select("rid", "doc_id", "n_words", "f.n", "f.p", "f.fp", F.greatest(F.col("f.p") - F.col("f.n") + 1, F.lit(0)).alias("from"), "w")
         rows = rows.withColumn("w", F.slice("w", F.col("from") + 1, 2 * F.col("n")))  # the words that a window may have
-        hits = rows.join(distinct, (F.col("h") == F.col("fp")) & (F.col("n") == F.col("bn")) & (F.col("p") >= 0) & fits(start - F.col("from"), F.col("n")), "left")
-    n_words = F.size("w") if small else F.col("n_words")
-    hits = hits.select("rid", "doc_id", n_words.alias("n_words"), F.when(F.col("wid").isNotNull(), F.struct(start.alias("s"), F.col("n"))).alias("at"), "wid")
+        hits = salted_join(rows, distinct, "fp", "rid", counted=found).where((F.col("n") == F.col("bn")) & fits(start - F.col("from"), F.col("n")))
+        hits = hits.select("rid", "doc_id", "n_words", place.alias("at"), "wid")
+        none = words.select("rid", "doc_id", F.size("w").alias("n_words"), *[F.lit(None).cast(hits.schema[c].dataType).alias(c) for c in ("at", "wid")])
+        hits = hits.unionByName(none)
     # of one document: at most a row for each of its words and window lengths
     per = hits.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").cast("long").alias("n_words"), F.array_sort(F.collect_set("at")).alias("at"), F.collect_set("wid").alias("wids"))
     cover = F.aggregate("at", F.struct(F.lit(0).alias("e"), F.lit(0).alias("c")), lambda a, x: F.struct(F.greatest(a["e"], x["s"] + x["n"]).alias("e"), (a["c"] + F.greatest(F.lit(0), x["s"] + x["n"] - F.greatest(a["e"], x["s"]))).alias("c")))
-    per = per.select("rid", "doc_id", "n_words", cover["c"].cast("long").alias("n_hit"), F.explode_outer("wids").alias("wid"))
-    per = per.join(broadcast_if(owners, window_limit), F.col("wid") == F.col("owned"), "left")
-    out = per.groupBy("rid", "doc_id", "n_words", "n_hit").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    per = per.select("rid", "doc_id", "n_words", cover["c"].cast("long").alias("n_hit"), "wids")
+    if small:
+        named = per.withColumn("wid", F.explode_outer("wids")).join(F.broadcast(owners), F.col("wid") == F.col("owned"), "left")
+        out = named.groupBy("rid", "doc_id", "n_words", "n_hit").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    else:
+        per = materialize(per, "judged")
+        named = salted_join(per.select("rid", F.explode("wids").alias("wid")), owners.withColumnRenamed("owned", "wid"), "wid", "rid")
+        named = named.groupBy("rid").agg(F.array_sort(F.collect_set("item")).alias("items"))
+        out = per.join(named, "rid", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     return out.select("doc_id", "n_words", "n_hit", "items", ((F.col("n_hit") > 0) & (F.col("n_hit") * threshold >= F.col("n_words"))).alias("contaminated"))
