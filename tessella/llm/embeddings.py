@@ -41,6 +41,10 @@ TREES, LEAF, CHUNK, LIST, SPLITS = 8, 48, 256, 6, 2
 ROUNDS, CHANGED, RECALL, TRIES = 3, 0.002, 0.995, 5
 #: Members of a block when all of a group are compared with each other.
 MEMBERS = 1024
+#: Sizes of groups that are broadcast at most.
+SIZES = 200_000
+#: Parts in which the pairs of one node are ranked.
+PARTS = 16
 #: The audit's first sample, its largest, and the nodes with few links that it should have: 600 show a loss of one in 200 with 95 %.
 AUDIT, AUDIT_MOST, LINKED = 1024, 16384, 600
 FOUND = "src bigint, dst bigint, sim double, link boolean"
@@ -65,23 +69,26 @@ def _width(vec: bytes) -> int:
 
 
 def _spanning(links: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a forest with the components of a boolean matrix."""
-    seen, out = np.zeros(len(links), bool), []
-    for start in range(len(links)):
-        if seen[start]:
+    """Edges of a forest with the components of a boolean matrix, depth first: a path through a group of copies, so that none is a hub."""
+    free, out = links.any(axis=1), []
+    for start in np.flatnonzero(free).tolist():
+        if not free[start]:
             continue
-        seen[start], todo = True, [start]
+        free[start], todo = False, [start]
         while todo:
-            at = todo.pop()
-            for other in np.flatnonzero(links[at] & ~seen).tolist():
-                seen[other] = True
-                out.append((at, other))
+            open_ = links[todo[-1]] & free
+            other = int(open_.argmax())
+            if open_[other]:
+                free[other] = False
+                out.append((todo[-1], other))
                 todo.append(other)
+            else:
+                todo.pop()
     return out
 
 
 def _compare(ids: np.ndarray, x: np.ndarray, floor: np.ndarray, keep: int, threshold: float) -> tuple[list, list, list, list]:
-    """Rows of FOUND: each node's ``keep`` best others whose cosine exceeds its ``floor``, and the threshold's forest."""
+    """Rows of FOUND: pairs of a node and one of its ``keep`` best others, if the cosine exceeds its ``floor``, and the threshold's forest."""
     sims = x @ x.T
     np.fill_diagonal(sims, -2.0)
     src, dst, sim, link = [], [], [], []
@@ -92,10 +99,13 @@ def _compare(ids: np.ndarray, x: np.ndarray, floor: np.ndarray, keep: int, thres
         best = np.argpartition(-sims, k - 1, axis=1)[:, :k]
         values = np.take_along_axis(sims, best, axis=1)
         rows, cols = np.nonzero(values > floor[:, None])
-        src += ids[rows].tolist()
-        dst += ids[best[rows, cols]].tolist()
-        sim += values[rows, cols].tolist()
-        link += [False] * len(rows)
+        # a pair counts for both its ends, so one that both chose is given once
+        a, b = np.minimum(rows, best[rows, cols]), np.maximum(rows, best[rows, cols])
+        a, b = np.divmod(np.unique(a * len(ids) + b), len(ids))
+        src += ids[a].tolist()
+        dst += ids[b].tolist()
+        sim += sims[a, b].tolist()
+        link += [False] * len(a)
     return src, dst, sim, link
 
 
@@ -159,7 +169,7 @@ def _split(groups: DataFrame, sizes: DataFrame, trees: int, leaf: int, threshold
                         columns = [picked.column(0), pa.array(np.full(len(own), name)), pa.array((depth + bits)[at[own]]), picked.column(3), picked.column(4), pa.array(codes)]
                         yield pa.RecordBatch.from_arrays(columns, names=["k1", "tree", "depth", "nid", "vec", "code"])
 
-    sized = groups.join(sizes, F.col("k1") == F.col("of")).select("k1", "tree", "depth", "nid", "vec", "n")
+    sized = _sized(groups, sizes).where("n is not null").select("k1", "tree", "depth", "nid", "vec", "n")
     out = sized.mapInArrow(run, "k1 bigint, tree bigint, depth bigint, nid bigint, vec binary, code bigint")
     return out.select(F.xxhash64("code", "tree", "k1").alias("k1"), "tree", "depth", "nid", "vec")
 
@@ -172,7 +182,7 @@ def _codes(nodes: DataFrame, attempt: int, trees: int, leaf: int, threshold: flo
         large = materialize(_sizes(out).where(F.col("n") > CHUNK), f"large{attempt}-{level}")
         if not large.take(1):
             break
-        rest = out.join(large, F.col("k1") == F.col("of"), "left_anti")
+        rest = _sized(out, large).where("n is null").select(*out.columns)
         split = materialize(rest.unionByName(_split(out, large, trees, leaf, threshold)), f"codes{attempt}-{level}")
         discard(out)
         out = split
@@ -183,10 +193,20 @@ def _sizes(groups: DataFrame) -> DataFrame:
     return groups.groupBy(F.col("k1").alias("of")).agg(F.count("*").alias("n"))
 
 
-def _salted(rows: DataFrame, size: int) -> DataFrame:
-    """Adds k2, which splits each k1-group of rows into parts of about ``size``."""
-    counts = rows.groupBy(F.col("k1").alias("of")).agg(F.count("*").alias("n")).where("n > 1")
-    return rows.join(counts, F.col("k1") == F.col("of")).withColumn("k2", F.pmod(F.xxhash64("nid", "k1"), F.ceil(F.col("n") / size))).drop("of")
+def _sized(groups: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``groups`` (k1, nid, ..), a written table, with the n of their groups in ``sizes`` (of, n); null where they have none.
+
+    Up to ``SIZES`` sizes (they are counted) are broadcast, so that no vector is shuffled; beyond, large groups are dealt out.
+    """
+    if len(sizes.select(F.lit(1)).take(SIZES + 1)) <= SIZES:
+        return groups.join(F.broadcast(sizes), F.col("k1") == F.col("of"), "left").drop("of")
+    return salted_join(groups, sizes.withColumnRenamed("of", "k1"), "k1", "nid", how="left")
+
+
+def _salted(rows: DataFrame, size: int, tag: str = "crowds") -> DataFrame:
+    """Adds k2, which splits each k1-group of ``rows``, a written table, into parts of about ``size``."""
+    counts = materialize(_sizes(rows).where(F.col("n") > size), tag)
+    return _sized(rows, counts).withColumn("k2", F.coalesce(F.pmod(F.xxhash64("nid", "k1"), F.ceil(F.col("n") / size)), F.lit(0))).drop("n")
 
 
 def _lists(found: DataFrame, size: int, grown: int, threshold: float) -> DataFrame:
@@ -195,21 +215,27 @@ def _lists(found: DataFrame, size: int, grown: int, threshold: float) -> DataFra
     A list that is full of links is longer: it has its further links too, up to ``grown`` entries.
     """
     both = found.select("src", "dst", "sim").unionByName(found.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "sim"))
-    # a partial maximum a pair first, so that a pair found often is carried once
-    pairs = both.groupBy("src", "dst").agg(F.max("sim").alias("sim"))
-    best = pairs.groupBy("src").agg(F.slice(F.sort_array(F.collect_list(F.struct("sim", "dst")), asc=False), 1, grown).alias("list"))
+    # the best of each of a node's parts, then of those: a node that many others list meets in no task as a whole
+    part = F.pmod(F.xxhash64("dst"), F.lit(PARTS)).alias("part")
+    pairs = both.select("src", "dst", "sim", part).repartition("src", "part").groupBy("src", "part", "dst").agg(F.max("sim").alias("sim"))
+    top = lambda entries: F.slice(F.sort_array(entries, asc=False), 1, grown)
+    best = pairs.groupBy("src", "part").agg(top(F.collect_list(F.struct("sim", "dst"))).alias("list"))
+    best = best.groupBy("src").agg(top(F.flatten(F.collect_list("list"))).alias("list"))
     return best.select("src", F.filter("list", lambda e, i: (i < size) | (e["sim"] >= threshold)).alias("list"))
 
 
-def _round(nodes: DataFrame, lists: DataFrame, size: int, threshold: float) -> DataFrame:
+def _round(nodes: DataFrame, lists: DataFrame, size: int, threshold: float, tag: str) -> DataFrame:
     """FOUND of the comparisons around every node."""
-    edges = lists.select("src", F.explode("list").alias("e")).select("src", F.col("e.dst").alias("dst"))
-    around = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    around = materialize(around.unionByName(lists.select("src", F.col("src").alias("dst"))).distinct(), "around")
+    edges = lists.select(F.col("src").alias("k1"), F.explode("list").alias("e")).select("k1", F.col("e.dst").alias("nid"))
+    around = edges.unionByName(edges.select(F.col("nid").alias("k1"), F.col("k1").alias("nid")))
+    around = materialize(around.unionByName(lists.select(F.col("src").alias("k1"), F.col("src").alias("nid"))).distinct(), f"around{tag}")
     floors = lists.select(F.col("src").alias("of"), F.when(F.size("list") >= size, F.element_at("list", -1)["sim"]).otherwise(-2.0).alias("floor"))
     vectors = nodes.select(F.col("nid").alias("id"), "vec").join(floors, F.col("id") == F.col("of"), "left").select("id", "vec", F.coalesce("floor", F.lit(-2.0)).alias("floor"))
-    rows = around.join(vectors, F.col("dst") == F.col("id")).select(F.col("src").alias("k1"), F.col("dst").alias("nid"), "floor", "vec")
-    return _compared(_salted(rows, 2 * CHUNK), size, threshold)
+    # groups are split before vectors join them
+    rows = _salted(around, 2 * CHUNK, f"crowds{tag}").join(vectors, F.col("nid") == F.col("id"))
+    found = materialize(_compared(rows, size, threshold), f"round{tag}")
+    discard(around)
+    return found
 
 
 def _audited(placed: DataFrame, sample: int, salt: int, threshold: float) -> DataFrame:
@@ -345,12 +371,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, trees: int
     for attempt in range(TRIES):
         codes = _codes(nodes, attempt, trees, leaf, threshold)
         coded = codes.withColumn("floor", F.lit(-2.0).cast("double"))
-        found = materialize(_compared(_salted(coded, CHUNK), size, threshold), f"forest{attempt}")
+        found = materialize(_compared(_salted(coded, CHUNK, f"crowds{attempt}"), size, threshold), f"forest{attempt}")
         discard(codes)
         links = _joined(links, found, f"links{attempt}")
         lists = _merged(lists, found, size, 2 * size, threshold, f"lists{attempt}")
         for step in range(rounds):
-            found = materialize(_round(nodes, lists, size, threshold), f"round{attempt}-{step}")
+            found = _round(nodes, lists, size, threshold, f"{attempt}-{step}")
             before = _closeness(lists, size)
             links, lists = _joined(links, found, f"links{attempt}-{step}"), _merged(lists, found, size, size << (step + 2), threshold, f"lists{attempt}-{step}")
             if _closeness(lists, size) - before < CHANGED * n * size:
