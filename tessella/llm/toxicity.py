@@ -25,6 +25,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 from math import log, sqrt
 
 import numpy as np
@@ -54,16 +55,17 @@ class Vocabulary:
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Places of the text's known terms, ascending, and how often they occur."""
-        at = self.places
-        found = {at[t]: n for t, n in term_counts(text).items() if t in at}
-        terms, counts = np.fromiter(found, np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found))
+        found = term_counts(text)
+        terms = np.fromiter(map(self.places.get, found, repeat(-1)), np.int64, len(found))
+        counts = np.fromiter(found.values(), np.int64, len(found))
         order = np.argsort(terms)
+        order = order[np.count_nonzero(terms < 0) :]
         return terms[order], counts[order]
 
-    def present(self, text: str | None) -> list[int]:
-        """Places of the text's known terms."""
-        at = self.places
-        return [at[t] for t in set(_WORDS.findall((text or "").lower())) if t in at]
+    def present(self, text: str | None) -> np.ndarray:
+        """Places of the text's known terms, and -1 where it has others."""
+        found = set(_WORDS.findall((text or "").lower()))
+        return np.fromiter(map(self.places.get, found, repeat(-1)), np.int64, len(found))
 
 
 def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -111,7 +113,7 @@ class Index:
         sizes = self.runs[terms + 1] - self.runs[terms]
         runs, by_run = _spread(self.runs[terms], sizes), np.repeat(weights, sizes)
         blocks = self.block.take(runs)
-        bounds = np.bincount(blocks, by_run * self.most.take(runs), self.blocks)
+        bounds, held = np.bincount(blocks, by_run * self.most.take(runs), self.blocks), np.bincount(blocks, minlength=self.blocks)
         order = np.argsort(-bounds, kind="stable")
         order = order[bounds[order] > 0]
         wanted = np.zeros(self.blocks, bool)
@@ -122,16 +124,17 @@ class Index:
                 break
             wanted[:] = False
             wanted[part] = True
-            own = wanted[blocks]
-            if 2 * np.count_nonzero(own) > len(own):
+            if 2 * held[part].sum() > len(blocks):
                 # most of the postings are needed: read them term by term, and leave out the other blocks' sums
-                lengths = self.starts[terms + 1] - self.starts[terms]
-                postings = _spread(self.starts[terms], lengths)
-                dots = np.bincount(self.place.take(postings), np.repeat(weights, lengths) * self.weight.take(postings))
+                starts, ends = self.starts[terms], self.starts[terms + 1]
+                cuts = [slice(a, b) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                products = np.concatenate([self.weight[c] for c in cuts])
+                products *= np.repeat(weights, ends - starts)
+                dots = np.bincount(np.concatenate([self.place[c] for c in cuts]), products)
                 found = np.flatnonzero(dots)
                 found = found[wanted[found // BLOCK]]
             else:
-                own = np.flatnonzero(own)
+                own = np.flatnonzero(wanted[blocks])
                 lengths = self.length[runs[own]]
                 postings = _spread(self.first[runs[own]], lengths)
                 dots = np.bincount(self.place.take(postings), np.repeat(by_run[own], lengths) * self.weight.take(postings))
@@ -258,11 +261,12 @@ def _frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[int, np.ndarr
     size = len(vocabulary.kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(size + 1, np.int64)
+        found = np.zeros(size + 2, np.int64)  # the last place takes the terms that no example has
         for batch in batches:
             found[size] += batch.num_rows
             for t in batch.column(0):
                 found[vocabulary.present(t.as_py())] += 1
+        found = found[:-1]
         some = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(found[some])], names=["term", "n"])
 
