@@ -7,7 +7,7 @@ every term and drops none. Examples with equal counts are one entry of the index
 The postings of a term are cut into blocks of ``BLOCK`` entries, each with its greatest weight. The sum of these over a
 query's terms bounds the cosines of a block. Blocks are read in the order of their bounds, ``FIRST``
 of them and then all whose bound reaches the k-th best cosine so far, so that the k nearest are exact; of equal ones the first
-entry counts.
+example counts.
 
 The share of label 1 among the votes, weighted by class and a power of the cosine and shrunk towards the share among all
 examples, becomes ``score`` by a logistic curve fitted on the examples, each judged by all others. ``evidence`` names the
@@ -38,6 +38,8 @@ from tessella.llm.common import WORD, sample_labels
 
 FLOOR = 0.01
 PER_CLASS = 2000
+#: Terms by which the entries of the index are arranged.
+COMMON = 2048
 BLOCK, FIRST, NEAREST, POWER, PRIOR = 64, 2, 20, 2.0, 0.5
 _WORDS = re.compile(WORD.replace("\\x3A-\\x60", "\\x3A-\\x40\\x5B-\\x60"))
 
@@ -76,19 +78,45 @@ def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _alike(term: np.ndarray, weight: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """An order of the vectors in which alike ones are neighbours, so that blocks differ in their maxima.
+
+    Halved again and again, down to ``BLOCK``, along the direction in which they differ most. Only the first ``COMMON`` terms
+    (``train`` numbers frequent ones first) count here; the order decides what is read, never what is found.
+    """
+    n = len(cuts) - 1
+    dense, rows, common = np.zeros((n, COMMON)), np.repeat(np.arange(n), np.diff(cuts)), term < COMMON
+    dense[rows[common], term[common]] = weight[common]
+    todo, out = [np.arange(n)], [np.empty(0, np.int64)]
+    while todo:
+        at = todo.pop()
+        if len(at) <= BLOCK:
+            out.append(at)
+            continue
+        x = dense[at] - dense[at].mean(axis=0)
+        along = x[np.argmax((x * x).sum(axis=1))]
+        for _ in range(12):
+            along = (x @ along) @ x
+            along /= max(float(np.linalg.norm(along)), 1e-30)
+        at = at[np.argsort(-np.round(x @ along, 9), kind="stable")]
+        half = -(-(len(at) // 2) // BLOCK) * BLOCK
+        todo += [at[half:], at[:half]]
+    return np.concatenate(out)
+
+
 class Index:
     """Distinct example vectors with their votes: sparse postings of each term, by blocks, and the blocks' maxima."""
 
     def __init__(self, vectors: list[dict[int, float] | tuple[np.ndarray, np.ndarray]], votes: list[tuple[float, float]], names: list[int], size: int):
-        # entries with the same heaviest term lie together, so that blocks differ in their bounds
         pairs = [(np.fromiter(v, np.int64, len(v)), np.fromiter(v.values(), float, len(v))) if isinstance(v, dict) else v for v in vectors]
-        order = sorted(range(len(pairs)), key=lambda i: (int(pairs[i][0][np.argmax(pairs[i][1])]), pairs[i][0].tobytes(), i))
+        term = np.concatenate([np.empty(0, np.int64), *(t for t, _ in pairs)])
+        weight = np.concatenate([np.empty(0), *(w for _, w in pairs)])
+        order = _alike(term, weight, np.cumsum([0, *(len(t) for t, _ in pairs)]))
+        self.given = order  # the places in ``vectors``, which decide between equal cosines
         self.votes = np.array([votes[i] for i in order], float).reshape(-1, 2)
         self.names = [names[i] for i in order]
         self.blocks = -(-len(order) // BLOCK)
-        place = np.repeat(np.arange(len(order)), [len(pairs[i][0]) for i in order])
-        term = np.concatenate([np.empty(0, np.int64), *(pairs[i][0] for i in order)])
-        weight = np.concatenate([np.empty(0), *(pairs[i][1] for i in order)])
+        place = np.repeat(np.argsort(order), [len(t) for t, _ in pairs])
         by_term = np.lexsort((place, term))
         term, self.place, self.weight = term[by_term], place[by_term].astype(np.int64), weight[by_term]
         self.starts = np.searchsorted(term, np.arange(size + 1))
@@ -106,7 +134,7 @@ class Index:
         return self.search(np.fromiter(query, np.int64, len(query)), np.fromiter(query.values(), float, len(query)), k)
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k entries with the greatest positive cosine; of equal ones the first."""
+        """Places and cosines of the k entries with the greatest positive cosine; of equal ones those given first."""
         places, cosines = np.empty(0, np.int64), np.empty(0)
         if not len(terms) or not self.blocks:
             return places, cosines
@@ -124,7 +152,7 @@ class Index:
                 break
             wanted[:] = False
             wanted[part] = True
-            if 2 * held[part].sum() > len(blocks):
+            if 1.4 * held[part].sum() > len(blocks):
                 # most of the postings are needed: read them term by term, and leave out the other blocks' sums
                 starts, ends = self.starts[terms], self.starts[terms + 1]
                 cuts = [slice(a, b) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
@@ -143,7 +171,7 @@ class Index:
                 values = dots[found]
                 found = found[values >= np.partition(values, len(values) - k)[len(values) - k]]
             places, cosines = np.concatenate([places, found]), np.concatenate([cosines, dots[found]])
-            best = np.lexsort((places, -cosines))[:k]
+            best = np.lexsort((self.given[places], -cosines))[:k]
             places, cosines = places[best], cosines[best]
         return places, cosines
 
@@ -221,7 +249,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     found = examples.mapInArrow(terms, "doc_id bigint, label int, terms array<string>, counts array<bigint>").toArrow().combine_chunks()
     ids, label = found["doc_id"].to_pylist(), found["label"].to_pylist()
     lists, times = (pa.concat_arrays([pa.array([], found[c].type), *found[c].chunks]) for c in ("terms", "counts"))
-    vocabulary = Vocabulary(sorted(pc.unique(lists.flatten()).to_pylist()))
+    # frequent terms first: what most texts look up and read then lies together in memory
+    vocabulary = Vocabulary([r["values"] for r in sorted(pc.value_counts(lists.flatten()).to_pylist(), key=lambda r: (-r["counts"], r["values"]))])
     n = [label.count(k) for k in (0, 1)]
     if not all(n):
         return Model(vocabulary, np.empty(0), None, float(bool(n[1])))
