@@ -96,3 +96,14 @@ def test_augmentation_is_repeatable_and_small(spark):
     assert one == two
     still = stain.augment(df, "image", alpha=0.0, beta=0.0).collect()
     assert all(abs(a[k] - b[k]) <= 1 for a, b in zip(still, df.collect(), strict=True) for k in (1, 2, 3))
+
+
+@pytest.mark.parametrize("values", [[0.3], [-3.14159, 3.14159], [0.5] * 40 + [0.500001, -1.0], None])
+def test_angle_quantiles_are_exact(spark, values):
+    values = np.random.default_rng(2).normal(0.4, 0.3, 3000).clip(-3, 3).tolist() if values is None else values
+    rows = spark.createDataFrame([(v,) for v in [*values, None]], "a double")
+    shares = [0.0, 0.0001, 0.25, 0.5, 0.9999, 1.0]
+    got = stain.angle_quantiles(rows, F.col("a"), shares)
+    assert got == pytest.approx(np.quantile(values, shares).tolist(), abs=1e-12)
+    with pytest.raises(ValueError):
+        stain.angle_quantiles(rows.limit(0), F.col("a"), shares)
