@@ -13,7 +13,8 @@ The share of label 1 among the votes, weighted by class and a power of the cosin
 examples, becomes ``score`` by a logistic curve fitted on the examples, each judged by all others. ``evidence`` names the
 nearest examples.
 
-Bounds: about ``PER_CLASS`` examples of each class, drawn by a hash of the id and read whole, reach the driver.
+Bounds: about ``PER_CLASS`` examples of each class, drawn by a hash of the id and read whole, reach the driver, which holds their
+counts in flat arrays and never as Python objects of their own; what can be derived from the postings is not sent to the tasks.
 
 Defined cases: null and empty texts, and texts that share no word with an example, get the share of label 1 among the
 examples and no evidence; rows are scored one by one, repeated ones alike; without labels the score is 0, with one class
@@ -24,7 +25,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import cached_property
 from itertools import repeat
 from math import log, sqrt
 
@@ -52,8 +54,19 @@ def term_counts(text: str | None) -> Counter:
 class Vocabulary:
     """The terms of the examples and their places."""
 
-    def __init__(self, kept: list[str]):
-        self.kept, self.places = kept, {t: i for i, t in enumerate(kept)}
+    def __init__(self, terms: pa.StringArray):
+        self.terms = terms
+
+    @property
+    def kept(self) -> list[str]:
+        return self.terms.to_numpy(zero_copy_only=False).tolist()
+
+    @cached_property
+    def places(self) -> dict[str, int]:
+        return {t: i for i, t in enumerate(self.kept)}
+
+    def __getstate__(self) -> dict:
+        return {"terms": self.terms}
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Places of the text's known terms, ascending, and how often they occur."""
@@ -84,21 +97,27 @@ def _alike(term: np.ndarray, weight: np.ndarray, cuts: np.ndarray) -> np.ndarray
     Halved again and again, down to ``BLOCK``, along the direction in which they differ most. Only the first ``COMMON`` terms
     (``train`` numbers frequent ones first) count here; the order decides what is read, never what is found.
     """
-    n = len(cuts) - 1
-    dense, rows, common = np.zeros((n, COMMON)), np.repeat(np.arange(n), np.diff(cuts)), term < COMMON
-    dense[rows[common], term[common]] = weight[common]
+    n, common = len(cuts) - 1, term < COMMON
+    starts = np.concatenate([[0], np.cumsum(common)])[cuts]
+    term, weight = term[common], weight[common]
     todo, out = [np.arange(n)], [np.empty(0, np.int64)]
     while todo:
         at = todo.pop()
         if len(at) <= BLOCK:
             out.append(at)
             continue
-        x = dense[at] - dense[at].mean(axis=0)
-        along = x[np.argmax((x * x).sum(axis=1))]
+        # x, the vectors less their mean, stays a product of sparse rows, as a dense one would take more room than the index
+        sizes = starts[at + 1] - starts[at]
+        own, row = _spread(starts[at], sizes), np.repeat(np.arange(len(at)), sizes)
+        t, w = term[own].astype(np.int64), weight[own]
+        mean = np.bincount(t, w, COMMON) / len(at)
+        far = int(np.argmax(np.bincount(row, w * (w - 2 * mean[t]), len(at))))
+        along = np.bincount(t[row == far], w[row == far], COMMON) - mean
         for _ in range(12):
-            along = (x @ along) @ x
+            x = np.bincount(row, w * along[t], len(at)) - mean @ along
+            along = np.bincount(t, w * x[row], COMMON) - mean * x.sum()
             along /= max(float(np.linalg.norm(along)), 1e-30)
-        at = at[np.argsort(-np.round(x @ along, 9), kind="stable")]
+        at = at[np.argsort(-np.round(np.bincount(row, w * along[t], len(at)) - mean @ along, 9), kind="stable")]
         half = -(-(len(at) // 2) // BLOCK) * BLOCK
         todo += [at[half:], at[:half]]
     return np.concatenate(out)
@@ -107,28 +126,42 @@ def _alike(term: np.ndarray, weight: np.ndarray, cuts: np.ndarray) -> np.ndarray
 class Index:
     """Distinct example vectors with their votes: sparse postings of each term, by blocks, and the blocks' maxima."""
 
-    def __init__(self, vectors: list[dict[int, float] | tuple[np.ndarray, np.ndarray]], votes: list[tuple[float, float]], names: list[int], size: int):
+    def __init__(self, vectors: Iterable[dict[int, float] | tuple[np.ndarray, np.ndarray]], votes: list[tuple[float, float]], names: list[int], size: int):
         pairs = [(np.fromiter(v, np.int64, len(v)), np.fromiter(v.values(), float, len(v))) if isinstance(v, dict) else v for v in vectors]
-        term = np.concatenate([np.empty(0, np.int64), *(t for t, _ in pairs)])
+        term = np.concatenate([np.empty(0, np.int32), *(t for t, _ in pairs)])
         weight = np.concatenate([np.empty(0), *(w for _, w in pairs)])
-        order = _alike(term, weight, np.cumsum([0, *(len(t) for t, _ in pairs)]))
+        lengths = np.array([len(t) for t, _ in pairs], np.int64)
+        del pairs
+        order = _alike(term, weight, np.cumsum([0, *lengths]))
         self.given = order  # the places in ``vectors``, which decide between equal cosines
         self.votes = np.array([votes[i] for i in order], float).reshape(-1, 2)
         self.names = [names[i] for i in order]
-        self.blocks = -(-len(order) // BLOCK)
-        place = np.repeat(np.argsort(order), [len(t) for t, _ in pairs])
+        place = np.repeat(np.argsort(order).astype(np.int32), lengths)
         by_term = np.lexsort((place, term))
-        term, self.place, self.weight = term[by_term], place[by_term].astype(np.int64), weight[by_term]
-        self.starts = np.searchsorted(term, np.arange(size + 1))
-        # a run is the postings of one term in one block
-        run = term * max(1, self.blocks) + self.place // BLOCK
-        first = np.flatnonzero(np.r_[True, run[1:] != run[:-1]]) if len(run) else np.empty(0, int)
-        self.first, self.length = first, np.diff(np.r_[first, len(run)])
-        self.block = self.place[first] // BLOCK
-        self.most = np.maximum.reduceat(self.weight, first) if len(run) else np.empty(0)
+        self.place, self.weight = place[by_term].astype(np.int64), weight[by_term]
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=size))])
+        self._cut()
+
+    def _cut(self) -> None:
+        """The blocks and runs of the postings. A run is the postings of one term in one block."""
+        self.blocks = -(-len(self.given) // BLOCK)
+        size, block = len(self.starts) - 1, (self.place // BLOCK).astype(np.int32)
+        term = np.repeat(np.arange(size, dtype=np.int32), np.diff(self.starts))
+        first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])[: len(term)])
+        self.first, self.length = first, np.diff(np.r_[first, len(term)])
+        self.block = block[first].astype(np.int64)
+        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.empty(0)
         self.runs = np.searchsorted(term[first], np.arange(size + 1))
         self.least_vote = float(self.votes.sum(axis=1).min()) if len(self.votes) else 0.0
 
+    def __getstate__(self) -> dict:
+        return {k: getattr(self, k) for k in ("given", "votes", "names", "weight", "starts")} | {"place": self.place.astype(np.int32)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self.place = self.place.astype(np.int64)
+        self._cut()
+
     def nearest(self, query: dict[int, float], k: int) -> tuple[np.ndarray, np.ndarray]:
         """As ``search``."""
         return self.search(np.fromiter(query, np.int64, len(query)), np.fromiter(query.values(), float, len(query)), k)
@@ -243,25 +276,17 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
                 found = [term_counts(t.as_py()) for t in part.column(2)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))], names=["doc_id", "label", "terms", "counts"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], names=["doc_id", "label", "terms", "counts"])
 
     examples = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
-    found = examples.mapInArrow(terms, "doc_id bigint, label int, terms array<string>, counts array<bigint>").toArrow().combine_chunks()
+    found = examples.mapInArrow(terms, "doc_id bigint, label int, terms array<string>, counts array<int>").toArrow()
     ids, label = found["doc_id"].to_pylist(), found["label"].to_pylist()
-    lists, times = (pa.concat_arrays([pa.array([], found[c].type), *found[c].chunks]) for c in ("terms", "counts"))
-    # frequent terms first: what most texts look up and read then lies together in memory
-    vocabulary = Vocabulary([r["values"] for r in sorted(pc.value_counts(lists.flatten()).to_pylist(), key=lambda r: (-r["counts"], r["values"]))])
     n = [label.count(k) for k in (0, 1)]
+    vocabulary, counts = _counted(found)
+    del found
     if not all(n):
         return Model(vocabulary, np.empty(0), None, float(bool(n[1])))
-    size = len(vocabulary.kept)
-    places = pc.index_in(lists.flatten(), value_set=pa.array(vocabulary.kept, pa.string())).to_numpy(zero_copy_only=False).astype(np.int64)
-    numbers = times.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    cuts = np.cumsum([0, *pc.list_value_length(lists).to_pylist()]).tolist()
-    counts = []
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        by_place = a + np.argsort(places[a:b])
-        counts.append((places[by_place], numbers[by_place]))
+    size = len(vocabulary.terms)
     keys = [t.tobytes() + c.tobytes() for t, c in counts]
     order = sorted(range(len(ids)), key=lambda i: (ids[i], label[i], keys[i]))
     holds = np.zeros((2, size))
@@ -275,19 +300,38 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     entries: dict[bytes, list] = {}
     for i in order:
         if keys[i]:
-            entry = entries.setdefault(keys[i], [0.0, 0.0, ids[i], (counts[i][0], model.vector(*counts[i]))])
+            entry = entries.setdefault(keys[i], [0.0, 0.0, ids[i], counts[i]])
             entry[1 - label[i]] += weight[label[i]]
     if not entries:
         return model
-    model.index = Index([v[3] for v in entries.values()], [(v[0], v[1]) for v in entries.values()], [v[2] for v in entries.values()], size)
+    vectors = ((v[3][0], model.vector(*v[3])) for v in entries.values())
+    model.index = Index(vectors, [(v[0], v[1]) for v in entries.values()], [v[2] for v in entries.values()], size)
     at = {name: i for i, name in enumerate(model.index.names)}
     model.fit([(*counts[i], at[entries[keys[i]][2]], label[i], weight[label[i]]) for i in order if keys[i]])
     return model
 
 
+def _counted(found: pa.Table) -> tuple[Vocabulary, list[tuple[np.ndarray, np.ndarray]]]:
+    """The vocabulary of the rows (terms, counts), and of each row the places of its terms, ascending, and their counts."""
+    words = pc.list_flatten(found["terms"])
+    known = pc.value_counts(words)
+    known = pa.table({"term": known.field("values"), "n": known.field("counts")})
+    # frequent terms first: what most texts look up and read then lies together in memory
+    kept = known["term"].take(pc.sort_indices(known, [("n", "descending"), ("term", "ascending")])).combine_chunks()
+    vocabulary = Vocabulary(kept if isinstance(kept, pa.Array) else pa.concat_arrays([pa.array([], kept.type), *kept.chunks]))
+    places = np.concatenate([np.empty(0, np.int32), *(c.to_numpy(zero_copy_only=False) for c in pc.index_in(words, value_set=vocabulary.terms).chunks)])
+    times = np.concatenate([np.empty(0, np.int32), *(c.to_numpy(zero_copy_only=False) for c in pc.list_flatten(found["counts"]).chunks)])
+    cuts, out = np.cumsum([0, *pc.list_value_length(found["terms"]).to_pylist()]).tolist(), []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        by_place = a + np.argsort(places[a:b])
+        places[a:b], times[a:b] = places[by_place], times[by_place]
+        out.append((places[a:b], times[a:b]))
+    return vocabulary, out
+
+
 def _frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[int, np.ndarray]:
     """Number of all rows of ``docs``, and of those that hold each term; one count a term and task is shuffled."""
-    size = len(vocabulary.kept)
+    size = len(vocabulary.terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(size + 2, np.int64)  # the last place takes the terms that no example has
@@ -300,8 +344,8 @@ def _frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[int, np.ndarr
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(found[some])], names=["term", "n"])
 
     out = np.zeros(size + 1)
-    for r in docs.select("text").mapInArrow(run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        out[r["term"]] = r["n"]
+    for r in docs.select("text").mapInArrow(run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow().to_batches():
+        out[r["term"].to_numpy()] = r["n"].to_numpy()
     return int(out[size]), out[:size]
 
 

@@ -346,6 +346,41 @@ def test_nearest_examples_are_exact():
         assert np.allclose([dense[index.names[p]] @ q for p in places], cosines, atol=1e-5)
 
 
+def test_toxicity_index_takes_room_by_its_postings():
+    """Neither building it nor sending it takes a dense matrix or what follows from the postings."""
+    import pickle
+    import tracemalloc
+
+    rng, n, m = np.random.default_rng(6), 3000, 12
+    pairs = [(np.sort(rng.choice(4096, m, replace=False)), rng.uniform(0.1, 1, m)) for _ in range(n)]
+    pairs = [(t, w / np.linalg.norm(w)) for t, w in pairs]
+    tracemalloc.start()
+    index = toxicity.Index(pairs, [(1.0, 0.0)] * n, list(range(n)), 4096)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400 * n * m
+    data = pickle.dumps(index)
+    assert len(data) < 20 * n * m
+    sent = pickle.loads(data)
+    for t, w in pairs[::100]:
+        here, there = index.search(t, w, toxicity.NEAREST), sent.search(t, w, toxicity.NEAREST)
+        assert here[0].tolist() == there[0].tolist() and here[1].tolist() == there[1].tolist() and here[1][0] == pytest.approx(1)
+
+
+def test_toxicity_trains_in_little_room_of_the_driver(spark):
+    import tracemalloc
+
+    texts = [" ".join(f"w{i * 400 + j}" for j in range(400)) + (" nasty" if i % 2 else " nice") for i in range(400)]
+    df, labels = docs(spark, texts), spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    tracemalloc.start()
+    model = toxicity.train(df, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6, peak
+    assert len(model.vocabulary.kept) == 400 * 400 + 2 and model.vocabulary.kept[:2] == ["nasty", "nice"]
+    assert model.score("nasty")[0] > 0.5 > model.score("nice")[0]
+
+
 def labelled(spark, bad, column, n=240):
     rng = random.Random(9)
     vocabulary = ["river", "stone", "cloud", "bread", "window", "garden", "letter", "music"]
