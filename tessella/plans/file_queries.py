@@ -217,13 +217,13 @@ def slide_tile_pixels(spark, sf_dir):
     """Tiles on a white background, a tile's place and pixels from the files."""
     t = slides.together(_tiles(spark, sf_dir), "path", ["tile_y", "tile_x"])
     t = t.withColumn("tile", slides.read_slide_tiles(*_at()))
-    return t.select("k", "tile_x", "tile_y", _sum(F.col("tile.data")).alias("total"))
+    return t.select("k", "tile_x", "tile_y", slides.byte_sum(F.col("tile.data")).alias("total"))
 
 
 @query(f"SELECT k, tx AS tile_x, ty AS tile_y, sum(CASE WHEN inside THEN v WHEN c = 0 THEN 10 WHEN c = 1 THEN 0 ELSE 200 END)::BIGINT AS total FROM ({PIXELS}) GROUP BY k, tx, ty")
 def slide_tile_background(spark, sf_dir):
     t = _tiles(spark, sf_dir).withColumn("tile", slides.slide_tiles(10, 0, 200)(*_at()))
-    return t.select("k", "tile_x", "tile_y", _sum(F.col("tile.data")).alias("total"))
+    return t.select("k", "tile_x", "tile_y", slides.byte_sum(F.col("tile.data")).alias("total"))
 
 
 @query(f"SELECT k, tx AS tile_x, ty AS tile_y, sum(CASE WHEN inside THEN v + (c = 0)::INTEGER * 255 ELSE 0 END)::BIGINT AS total, count(*) FILTER (WHERE inside AND c = 0) AS seen FROM ({PIXELS}) GROUP BY k, tx, ty")

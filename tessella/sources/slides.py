@@ -7,6 +7,7 @@ files. Pixels are read by column functions, which belong above all filters on me
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -24,6 +25,10 @@ from tessella.sources.tiff import TiffFile, encode_tiff, pyramid
 #: Suffixes of slide files.
 EXTENSIONS = ("svs", "tif", "dcm", "ndpi", "vms", "vmu", "scn", "mrxs", "tiff", "svslide", "bif", "czi", "ome.tiff", "ome.tif")
 SLIDE = "path string, extent_x bigint, extent_y bigint, tile_extent_x bigint, tile_extent_y bigint, stride_x bigint, stride_y bigint, mpp_x double, mpp_y double, level bigint, downsample double"
+#: Partitions of files at most, unless ``files_per_partition`` is given: a task costs more than the heads of a few files.
+PARTITIONS = 512
+#: Bytes of pixels that a block of tiles may hold in any case, and slides that a task keeps open.
+BLOCK_BYTES, MOST_OPEN = 16 << 20, 64
 TILE = T.StructType([T.StructField("shape", T.ArrayType(T.IntegerType())), T.StructField("data", T.BinaryType())])
 OVERLAY = T.StructType([*TILE.fields, T.StructField("mask", T.BinaryType())])
 
@@ -171,8 +176,21 @@ class SlideSource(DataSource):
 
 
 class Written(WriterCommitMessage):
+    """The files of a task, packed: messages of all tasks meet on the driver."""
+
     def __init__(self, paths: list[str]):
-        self.paths = paths
+        self.packed = zlib.compress(json.dumps(paths).encode())
+
+    @property
+    def paths(self) -> list[str]:
+        return json.loads(zlib.decompress(self.packed))
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """One row after the other, so that a task holds no second copy of a batch."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {name: column[i].as_py() for name, column in zip(batch.schema.names, batch.columns, strict=True)}
 
 
 class TiffWriter(DataSourceWriter):
@@ -344,10 +362,19 @@ class TileReader:
 def together(tiles: DataFrame, path: str = "path", order: Sequence[str] = ("tile_y", "tile_x"), rows: int = 128, blocks: int | None = None) -> DataFrame:
     """Tiles dealt by ranges of slide and place, so that those of a slide lie together and a large slide is split.
 
-    ``blocks`` ranges, or as many as leave about ``rows`` tiles to each (the tiles are then counted), up to 100,000.
+    ``blocks`` ranges, or as many as leave about ``rows`` tiles to each (the tiles are then counted), up to 100,000. Where the
+    tiles' extents are known, a range of small tiles holds more of them, up to ``BLOCK_BYTES`` of pixels, as long as all cores
+    have ranges. Ranges are of hashes of the slide: Spark draws rows for their edges and sends them to the driver, paths would
+    be most of that.
     """
-    n = blocks or min(100_000, max(1, -(-tiles.count() // rows)))
-    return tiles.repartitionByRange(n, path, *order).sortWithinPartitions(path, *order)
+    n = blocks
+    if n is None:
+        sized = {"tile_extent_x", "tile_extent_y"} <= set(tiles.columns)
+        count, size = tiles.agg(F.count("*"), F.sum(tile_bytes()) if sized else F.lit(None)).first()
+        n = -(-count // rows)
+        if size is not None:
+            n = min(n, max(-(-size // BLOCK_BYTES), 4 * tiles.sparkSession.sparkContext.defaultParallelism))
+    return tiles.repartitionByRange(min(100_000, max(1, n)), F.xxhash64(path), *order).sortWithinPartitions(path, *order)
 
 
 def pixel_bytes(channels: int = 3) -> Column:
@@ -408,3 +435,13 @@ def pixel_std(tile: pa.Array) -> pa.Array:
     return pa.array([float(np.frombuffer(t["data"], np.uint8).std()) if t and t["data"] else None for t in tile.to_pylist()], pa.float64())
 
 
+@F.arrow_udf(T.LongType())
+def byte_sum(data: pa.Array) -> pa.Array:
+    """Sum of all of a tile's bytes."""
+    return pa.array([None if d is None else int(np.frombuffer(d, np.uint8).sum(dtype=np.int64)) for d in data.to_pylist()], pa.int64())
+
+
+@F.arrow_udf(T.LongType())
+def opaque_pixels(data: pa.Array) -> pa.Array:
+    """How many of the red, green, blue and alpha pixels of a region are opaque."""
+    return pa.array([None if d is None else int((np.frombuffer(d, np.uint8)[3::4] == 255).sum()) for d in data.to_pylist()], pa.int64())

@@ -151,3 +151,18 @@ def test_tiles_of_a_slide_lie_together(spark):
         blocks.setdefault(r["b"], []).append((r["path"], r["tile_y"], r["tile_x"]))
     assert out.count() == len(rows) and all(b == sorted(b) for b in blocks.values())
     assert max(len({p for p, _, _ in b}) for b in blocks.values()) <= 2
+
+
+def test_small_tiles_share_blocks_and_messages_are_small(spark):
+    import pickle
+
+    tiles = spark.range(40_000).selectExpr("concat('s', id div 400) path", "id % 20 tile_x", "id div 20 % 20 tile_y", "16L tile_extent_x", "16L tile_extent_y")
+    out = slides.together(tiles)
+    assert out.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    blocks = out.groupBy(F.spark_partition_id()).agg(F.count_distinct("path").alias("paths")).agg(F.sum("paths")).first()[0]
+    assert out.count() == 40_000 and blocks < 100 + out.rdd.getNumPartitions()
+    # large tiles still have blocks of their own
+    assert slides.together(tiles.withColumn("tile_extent_x", F.lit(1 << 20))).rdd.getNumPartitions() == 313
+    paths = [f"file:///some/shared/folder/s_{k}_{k % 7 * 16}.png" for k in range(5000)]
+    message = slides.Written(paths)
+    assert len(pickle.dumps(message)) * 5 < sum(map(len, paths)) and message.paths == paths
