@@ -9,8 +9,11 @@ from __future__ import annotations
 import json
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.functions.geometry import polygon_area, rectangle
 from tessella.operators import imaging, rows, stain
@@ -20,6 +23,8 @@ from tessella.sources import annotations, slides
 from tessella.sources.files import shared_folder
 
 PER_FILE = 500
+SLIDES_A_TASK = 500
+PNG_FOLDERS = 256
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -159,20 +164,33 @@ PIXELS = f"SELECT k, tx, ty, dx, dy, c, tx + dx < w AND ty + dy < h AS inside, (
 def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     out = table(spark, sf_dir, "supplier").select(k.alias("k"), (56 + k % 5 * 8).cast("int").alias("w"), (40 + k % 3 * 8).cast("int").alias("h"), (16 + k % 4 * 8).cast("int").alias("edge"))
-    return out.repartition(8)
+    # a task has the pixels of its slides in few batches
+    return out.repartition(max(8, -(-out.count() // SLIDES_A_TASK)))
 
 
-def _bytes(n: Column, value) -> Column:
-    """``n`` bytes; ``value`` gives the one at a place."""
-    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.lpad(F.hex(value(i).cast("long")), 2, "0")), ""))
+@F.arrow_udf(T.BinaryType())
+def _slide_pixels(k: pa.Array, w: pa.Array, h: pa.Array) -> pa.Array:
+    out = []
+    for key, width, height in zip(k.to_pylist(), w.to_pylist(), h.to_pylist(), strict=True):
+        y, x, c = np.ogrid[:height, :width, :3]
+        out.append(((x * 3 + y * 5 + key + c * 7) % 256).astype(np.uint8).tobytes())
+    return pa.array(out, pa.binary())
+
+
+@F.arrow_udf(T.BinaryType())
+def _overlay_pixels(w: pa.Array, h: pa.Array, edge: pa.Array) -> pa.Array:
+    out = []
+    for width, height, at in zip(w.to_pylist(), h.to_pylist(), edge.to_pylist(), strict=True):
+        row = np.where(np.arange(width) * 2 < at, 255, 0).astype(np.uint8)
+        out.append(np.tile(row, height).tobytes())
+    return pa.array(out, pa.binary())
 
 
 def _slides(spark: SparkSession, sf_dir: str) -> str:
     s, path = _suppliers(spark, sf_dir), _folder(spark, "slides")
-    w, k = F.col("w"), F.col("k")
-    pixel = lambda i: (F.floor(i / 3) % w * 3 + F.floor(i / (3 * w)) * 5 + k + i % 3 * 7) % 256
+    k = F.col("k")
     options = F.concat(F.lit('{"mpp":['), (0.25 * (1 + k % 3)).cast("string"), F.lit(',0.5],"compression":"'), F.when(k % 2 == 0, "none").otherwise("deflate"), F.lit('"}'))
-    out = s.select(F.concat(F.lit("s_"), k.cast("string"), F.lit(".tiff")).alias("name"), F.array("h", "w", F.lit(3)).alias("shape"), _bytes(F.col("h") * w * 3, pixel).alias("data"), options.alias("options"))
+    out = s.select(F.concat(F.lit("s_"), k.cast("string"), F.lit(".tiff")).alias("name"), F.array("h", "w", F.lit(3)).alias("shape"), _slide_pixels("k", "w", "h").alias("data"), options.alias("options"))
     slides.register(spark)
     out.write.format("tiff_tiles").option("defaults", '{"tile":[16,16]}').mode("append").save(path)
     return path
@@ -182,7 +200,7 @@ def _overlays(spark: SparkSession, sf_dir: str) -> str:
     """One channel at half the resolution: 255 left of the edge, else 0."""
     s, path = _suppliers(spark, sf_dir), _folder(spark, "overlays")
     w, h = F.floor(F.col("w") / 2).cast("int"), F.floor(F.col("h") / 2).cast("int")
-    data = _bytes(w * h, lambda i: F.when(i % w * 2 < F.col("edge"), 255).otherwise(0))
+    data = _overlay_pixels(w, h, "edge")
     options = F.concat(F.lit('{"mpp":['), (0.5 * (1 + F.col("k") % 3)).cast("string"), F.lit(',1.0],"tile":[16,16]}'))
     slides.register(spark)
     s.select(F.concat(F.lit("s_"), F.col("k").cast("string"), F.lit(".tiff")).alias("name"), F.array(h, w, F.lit(1)).alias("shape"), data.alias("data"), options.alias("options")).write.format("tiff_tiles").mode("append").save(path)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
 
 from tessella.sources.files import listed, opened, removed, written
@@ -193,17 +193,17 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {name: column[i].as_py() for name, column in zip(batch.schema.names, batch.columns, strict=True)}
 
 
-class TiffWriter(DataSourceWriter):
+class TiffWriter(DataSourceArrowWriter):
     """Rows with name, shape, data (uint8, row-major) and options (JSON object, or null) become ``<path>/<name>``."""
 
     def __init__(self, options: dict):
         self.folder = options["path"].rstrip("/")
         self.defaults = json.loads(options.get("defaults", "{}"))
 
-    def write(self, rows: Iterator) -> WriterCommitMessage:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         done = []
-        for row in rows:
-            o = self.defaults | (json.loads(row["options"]) if "options" in row.__fields__ and row["options"] else {})
+        for row in _records(iterator):
+            o = self.defaults | (json.loads(row["options"]) if row.get("options") else {})
             pixels = np.frombuffer(row["data"], np.uint8).reshape(row["shape"])
             mpp = o.get("mpp", [1.0, 1.0])
             levels = pyramid(pixels if pixels.ndim == 3 else pixels[..., None]) if o.get("pyramid", True) else [pixels]
@@ -218,15 +218,15 @@ class TiffWriter(DataSourceWriter):
                 removed(path)
 
 
-class PngWriter(DataSourceWriter):
+class PngWriter(DataSourceArrowWriter):
     """Rows with name, shape and data (uint8, row-major) become ``<path>/<name>``."""
 
     def __init__(self, options: dict):
         self.folder = options["path"].rstrip("/")
 
-    def write(self, rows: Iterator) -> WriterCommitMessage:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         done = []
-        for row in rows:
+        for row in _records(iterator):
             path = f"{self.folder}/{row['name']}"
             written(path, encode_png(np.frombuffer(row["data"], np.uint8).reshape(row["shape"])))
             done.append(path)
@@ -287,7 +287,7 @@ def read_slides(spark: SparkSession, paths: str | Sequence[str], tile_extent: in
 
 
 class _Open:
-    """The slides that a batch reads, each opened once."""
+    """The slides that a batch reads; those last used, up to ``MOST_OPEN``, stay open."""
 
     def __init__(self):
         self.slides: dict[str, object] = {}
@@ -295,9 +295,11 @@ class _Open:
     def __getitem__(self, path: str | None):
         if path is None:
             raise ValueError("a tile has no slide path")
-        if path not in self.slides:
-            self.slides[path] = open_slide(path)
-        return self.slides[path]
+        slide = self.slides.pop(path, None) or open_slide(path)
+        self.slides[path] = slide
+        if len(self.slides) > MOST_OPEN:
+            self.slides.pop(next(iter(self.slides))).close()
+        return slide
 
     def __enter__(self):
         return self
@@ -314,7 +316,7 @@ def _tiles(found: list[np.ndarray]) -> pa.Array:
 
 def slide_tiles(*background: int):
     """A function of path, x, y, width, height and level that gives the pixels of tiles on a background of one gray or of red,
-    green and blue. Slides are opened once a batch: rows of a slide should lie together (``together``)."""
+    green and blue. A batch keeps the slides last used open: rows of a slide should lie together (``together``)."""
     colour = background[0] if len(background) == 1 else background
 
     @F.arrow_udf(TILE)

@@ -166,3 +166,23 @@ def test_small_tiles_share_blocks_and_messages_are_small(spark):
     paths = [f"file:///some/shared/folder/s_{k}_{k % 7 * 16}.png" for k in range(5000)]
     message = slides.Written(paths)
     assert len(pickle.dumps(message)) * 5 < sum(map(len, paths)) and message.paths == paths
+
+
+def test_sinks_take_batches_row_by_row(tmp_path):
+    import pyarrow as pa
+
+    def batches():
+        for k in range(3):
+            yield pa.RecordBatch.from_pydict({"name": [f"{k}.tiff"], "shape": [[20, 30, 3]], "data": [gradient(20, 30).tobytes()]})
+            assert (tmp_path / f"{k}.tiff").exists()
+
+    message = slides.TiffWriter({"path": str(tmp_path)}).write(batches())
+    assert message.paths == [str(tmp_path / f"{k}.tiff") for k in range(3)]
+
+
+def test_few_slides_stay_open(folder, tmp_path):
+    with slides._Open() as found:
+        for k in range(slides.MOST_OPEN + 20):
+            (tmp_path / f"{k}.tiff").symlink_to(folder / "a.tiff")
+            assert found[str(tmp_path / f"{k}.tiff")].describe(0)[:2] == (420, 300)
+        assert len(found.slides) == slides.MOST_OPEN
