@@ -285,10 +285,11 @@ def png_of_tiles(spark, sf_dir):
     slides.register(spark)
     t = _tiles(spark, sf_dir).withColumn("tile", slides.read_slide_tiles(*_at()))
     name = F.concat_ws("_", rows.stem(F.col("path")), "tile_x", "tile_y")
-    t.select(F.concat(name, F.lit(".png")).alias("name"), "tile.shape", "tile.data", F.lit(None).cast("string").alias("options")).write.format("png_tiles").mode("append").save(folder)
-    files = spark.read.format("binaryFile").load(folder).where(F.hex(F.substring("content", 1, 8)) == "89504E470D0A1A0A")
-    size = lambda at: F.conv(F.hex(F.substring("content", at, 4)), 16, 10).cast("long")
-    return files.groupBy(_key(F.col("path")).alias("k")).agg(F.count("*").alias("tiles"), F.max(size(17)).alias("width"), F.max(size(21)).alias("height"))
+    # in folders, for the tasks to list: the driver would hold every file's name
+    name = F.concat((F.col("k") % PNG_FOLDERS).cast("string"), F.lit("/"), name, F.lit(".png"))
+    t.select(name.alias("name"), "tile.shape", "tile.data", F.lit(None).cast("string").alias("options")).write.format("png_tiles").mode("append").save(folder)
+    files = spark.read.format("png_tiles").load(folder)
+    return files.groupBy(_key(F.col("path")).alias("k")).agg(F.count("*").alias("tiles"), F.max("width").alias("width"), F.max("height").alias("height"))
 
 
 @query(f"SELECT k, w::BIGINT * h * 3 AS pixel_bytes, 16::BIGINT * 16 * 3 AS tile_bytes FROM ({TIFFS})")

@@ -54,10 +54,22 @@ def listed(paths: Iterable[str], extensions: Iterable[str], missing_ok: bool = F
     return sorted(set(out))
 
 
+def below(path: str) -> tuple[list[str], list[str]]:
+    """Folders and files directly in a folder, each sorted."""
+    store, name = located(path)
+    prefix = path[: len(path) - len(name)] if "://" in path else ""
+    info = store.get_file_info(fs.FileSelector(name))
+    return tuple(sorted(prefix + f.path for f in info if f.type == kind) for kind in (fs.FileType.Directory, fs.FileType.File))
+
+
 def written(path: str, data: bytes) -> None:
     store, name = located(path)
-    store.create_dir(name.rsplit("/", 1)[0], recursive=True)
-    with store.open_output_stream(name) as file:
+    try:
+        file = store.open_output_stream(name)
+    except FileNotFoundError:
+        store.create_dir(name.rsplit("/", 1)[0], recursive=True)
+        file = store.open_output_stream(name)
+    with file:
         file.write(data)
 
 

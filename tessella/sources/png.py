@@ -10,6 +10,13 @@ import numpy as np
 #: The signature of the format, and its colour type for each number of channels.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 COLOUR = {1: 0, 2: 4, 3: 2, 4: 6}
+#: Bytes of the signature and of the header up to the height.
+HEAD = 24
+
+
+def png_size(head: bytes) -> tuple[int, int] | None:
+    """Width and height from a file's first bytes; none if it is no PNG."""
+    return struct.unpack(">II", head[16:24]) if len(head) >= HEAD and head.startswith(SIGNATURE) else None
 
 
 def encode_png(pixels: np.ndarray, level: int = 6) -> bytes:

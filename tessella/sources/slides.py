@@ -18,8 +18,9 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
 
-from tessella.sources.files import listed, opened, removed, written
-from tessella.sources.png import encode_png
+from tessella.sources.files import below, listed, opened, removed, written
+from tessella.sources.png import HEAD as PNG_HEAD
+from tessella.sources.png import encode_png, png_size
 from tessella.sources.tiff import TiffFile, encode_tiff, pyramid
 
 #: Suffixes of slide files.
@@ -142,7 +143,7 @@ class SlideReader(DataSourceReader):
             found = [f for f in found if f in self.only]
         if "shuffle_seed" in o:
             np.random.default_rng(int(o["shuffle_seed"])).shuffle(found)
-        size = max(1, int(o.get("files_per_partition", 16)))
+        size = max(1, int(o.get("files_per_partition", max(16, -(-len(found) // PARTITIONS)))))
         return [Files(found[i : i + size]) for i in range(0, len(found), size)] or [Files([])]
 
     def read(self, partition: Files) -> Iterator[tuple]:
@@ -162,7 +163,7 @@ class SlideReader(DataSourceReader):
 
 class SlideSource(DataSource):
     """Options: path or paths (JSON list), mpp or level, tile_extent, stride, extensions, pathGlobFilter, ignoreMissingFiles,
-    files_per_partition, shuffle_seed."""
+    files_per_partition (16, or as many as leave ``PARTITIONS`` partitions), shuffle_seed."""
 
     @classmethod
     def name(cls) -> str:
@@ -238,15 +239,43 @@ class PngWriter(DataSourceArrowWriter):
                 removed(path)
 
 
+class PngReader(DataSourceReader):
+    """The driver lists what lies directly in the folder, executors list what is below and read the heads of the files."""
+
+    def __init__(self, options: dict):
+        self.folder = options["path"].rstrip("/")
+
+    def partitions(self) -> list[InputPartition]:
+        folders, files = below(self.folder)
+        files = [f for f in files if f.lower().endswith(".png")]
+        groups = []
+        for found, least in ((folders, 1), (files, 16)):
+            size = max(least, -(-len(found) // PARTITIONS))
+            groups += [Files(found[i : i + size]) for i in range(0, len(found), size)]
+        return groups or [Files([])]
+
+    def read(self, partition: Files) -> Iterator[tuple]:
+        for top in partition.paths:
+            for path in listed([top], ["png"]):
+                with opened(path) as file:
+                    size = png_size(file.read(PNG_HEAD))
+                if size is not None:
+                    yield (path, *size)
+
+
 class PngSink(DataSource):
-    """``df.write.format("png_tiles").mode("append").save(folder)``."""
+    """``df.write.format("png_tiles").mode("append").save(folder)``; names may have folders. Reading gives the path, width and
+    height of the PNG files in and below a folder: many files should be dealt over folders, which tasks list."""
 
     @classmethod
     def name(cls) -> str:
         return "png_tiles"
 
     def schema(self) -> str:
-        return "name string, shape array<int>, data binary, options string"
+        return "path string, width bigint, height bigint"
+
+    def reader(self, schema: T.StructType) -> DataSourceReader:
+        return PngReader(self.options)
 
     def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceWriter:
         return PngWriter(self.options)

@@ -186,3 +186,15 @@ def test_few_slides_stay_open(folder, tmp_path):
             (tmp_path / f"{k}.tiff").symlink_to(folder / "a.tiff")
             assert found[str(tmp_path / f"{k}.tiff")].describe(0)[:2] == (420, 300)
         assert len(found.slides) == slides.MOST_OPEN
+
+
+def test_pngs_come_back_from_folders_and_tasks_are_bounded(spark, tmp_path, monkeypatch):
+    slides.register(spark)
+    rows = [(f"{k % 3}/{k}.png" if k % 4 else f"{k}.png", [5 + k, 7, 3], bytes((5 + k) * 21)) for k in range(24)]
+    spark.createDataFrame(rows, "name string, shape array<int>, data binary").write.format("png_tiles").mode("append").save(str(tmp_path))
+    (tmp_path / "1" / "none.png").write_bytes(b"no image")
+    got = {r["path"].removeprefix(f"{tmp_path}/"): (r["width"], r["height"]) for r in spark.read.format("png_tiles").load(str(tmp_path)).collect()}
+    assert got == {name: (7, shape[0]) for name, shape, _ in rows}
+    monkeypatch.setattr(slides, "listed", lambda *_: [f"{k}.tiff" for k in range(100_000)])
+    parts = slides.SlideReader({"path": "x", "level": 0, "tile_extent": 16, "stride": 16}).partitions()
+    assert len(parts) <= slides.PARTITIONS and sum(len(p.paths) for p in parts) == 100_000
