@@ -198,3 +198,12 @@ def test_pngs_come_back_from_folders_and_tasks_are_bounded(spark, tmp_path, monk
     monkeypatch.setattr(slides, "listed", lambda *_: [f"{k}.tiff" for k in range(100_000)])
     parts = slides.SlideReader({"path": "x", "level": 0, "tile_extent": 16, "stride": 16}).partitions()
     assert len(parts) <= slides.PARTITIONS and sum(len(p.paths) for p in parts) == 100_000
+
+
+def test_tasks_that_write_slides_have_few(spark, tmp_path):
+    from tessella.plans import file_queries
+
+    spark.range(6000).selectExpr("id s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    dealt = file_queries._suppliers(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count()
+    most, rows = dealt.agg(F.max("count"), F.sum("count")).first()
+    assert most <= file_queries.SLIDES_A_TASK * 1.05 and rows == 6000
