@@ -248,8 +248,7 @@ def slide_tile_background(spark, sf_dir):
 def slide_regions_rgba(spark, sf_dir):
     """Red, green, blue and alpha; what lies outside the slide is transparent black."""
     t = _tiles(spark, sf_dir).withColumn("region", slides.read_slide_regions(*_at()))
-    alpha = F.filter(F.sequence(F.lit(4), F.length("region.data"), F.lit(4)), lambda i: F.hex(F.substring(F.col("region.data"), i, F.lit(1))) == "FF")
-    return t.select("k", "tile_x", "tile_y", _sum(F.col("region.data")).alias("total"), F.size(alpha).cast("long").alias("seen"))
+    return t.select("k", "tile_x", "tile_y", slides.byte_sum(F.col("region.data")).alias("total"), slides.opaque_pixels("region.data").alias("seen"))
 
 
 @query(f"SELECT k, tx AS tile_x, ty AS tile_y, round(stddev_pop(CASE WHEN inside THEN v ELSE 255 END), 6) AS std FROM ({PIXELS}) GROUP BY k, tx, ty HAVING stddev_pop(CASE WHEN inside THEN v ELSE 255 END) > 30")

@@ -207,3 +207,8 @@ def test_tasks_that_write_slides_have_few(spark, tmp_path):
     dealt = file_queries._suppliers(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count()
     most, rows = dealt.agg(F.max("count"), F.sum("count")).first()
     assert most <= file_queries.SLIDES_A_TASK * 1.05 and rows == 6000
+
+
+def test_opaque_pixels(spark):
+    df = spark.createDataFrame([(bytes([255, 255, 255, 0, 1, 2, 3, 255]),), (bytes([0, 0, 0, 254]),), (b"",), (None,)], "d binary")
+    assert [r[0] for r in df.select(slides.opaque_pixels("d")).collect()] == [1, 0, 0, None]
