@@ -226,10 +226,6 @@ def _at() -> list[Column]:
     return [F.col("path"), F.col("tile_x"), F.col("tile_y"), F.col("tile_extent_x"), F.col("tile_extent_y"), F.col("level")]
 
 
-def _sum(data: Column) -> Column:
-    return F.aggregate(F.sequence(F.lit(1), F.length(data)), F.lit(0).cast("long"), lambda s, i: s + F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 10).cast("long"))
-
-
 @query(f"SELECT k, tx AS tile_x, ty AS tile_y, sum(CASE WHEN inside THEN v ELSE 255 END)::BIGINT AS total FROM ({PIXELS}) GROUP BY k, tx, ty")
 def slide_tile_pixels(spark, sf_dir):
     """Tiles on a white background, a tile's place and pixels from the files."""
@@ -274,7 +270,7 @@ def overlay_patches_of_files(spark, sf_dir):
     patch = slides.tile_overlay(*[F.col(c) for c in ("overlay", "tile_x", "tile_y", "mpp_x", "mpp_y")], rectangle(F.lit(4.0), F.lit(4.0), F.lit(8.0), F.lit(8.0)))
     t = t.withColumn("patch", patch)
     channels = F.element_at("patch.shape", 3)
-    return t.select("k", "tile_x", "tile_y", F.floor(_sum(F.col("patch.data")) / channels).alias("total"), _sum(F.col("patch.mask")).alias("outside"))
+    return t.select("k", "tile_x", "tile_y", F.floor(slides.byte_sum(F.col("patch.data")) / channels).alias("total"), slides.byte_sum(F.col("patch.mask")).alias("outside"))
 
 
 @query(f"SELECT k, count(*) AS tiles, 16::BIGINT AS width, 16::BIGINT AS height FROM ({TIFF_TILES}) GROUP BY k")

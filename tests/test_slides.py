@@ -212,3 +212,8 @@ def test_tasks_that_write_slides_have_few(spark, tmp_path):
 def test_opaque_pixels(spark):
     df = spark.createDataFrame([(bytes([255, 255, 255, 0, 1, 2, 3, 255]),), (bytes([0, 0, 0, 254]),), (b"",), (None,)], "d binary")
     assert [r[0] for r in df.select(slides.opaque_pixels("d")).collect()] == [1, 0, 0, None]
+
+
+def test_byte_sum(spark):
+    df = spark.createDataFrame([(bytes([255] * 1000 + [7]),), (b"\0",), (b"",), (None,)], "d binary")
+    assert [r[0] for r in df.select(slides.byte_sum("d")).collect()] == [255_007, 0, 0, None]
